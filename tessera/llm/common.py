@@ -60,3 +60,28 @@ class Scratch:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # the session may already have ended
             return
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, for operators that run Python there."""
+    import io
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top, data = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name in (top / "__init__.py", *sorted((top / "llm").glob("*.py"))):
+            z.writestr(f"{top.name}/{name.relative_to(top)}", name.read_bytes())
+    at = f"{shared_dir(spark)}/{top.name}-{uuid.uuid4().hex}/{top.name}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(at)
+    _shipped.add(sc.applicationId)
