@@ -4,7 +4,7 @@ The lexicon holds the terms (runs of letters and digits, lower case) whose docum
 in a band, so whose inverse document frequency does: at least ``low`` and at most ``high`` of all
 documents. As every document has a mean of T distinct terms, no more than T / low terms can have a
 share of ``low``: that bounds the lexicon, which the plan holds as a set. A document keeps its
-distinct lexicon terms, sorted. ``subsets`` randomised lexicons, each keeping one of 16, 64 or
+distinct lexicon terms, as hashes, sorted. ``subsets`` randomised lexicons, each keeping one of 16, 64 or
 256 terms by a hash, give one hash of the kept terms each; together they are the fingerprint. Large
 subsets tell near copies from similar texts, small ones still agree on texts that share a half.
 
@@ -23,26 +23,22 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_of
 
-TERM = r"[\p{L}\p{N}]+"
 SUBSETS, FAN = 24, 64
-
-
-def terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+#: SQL of a text's distinct terms, as hashes; {} is the text. The empty string beside a leading separator is no term.
+TERMS = r"array_distinct(transform(filter(split(lower({}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> ''), w -> xxhash64(w)))"
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.01, high: float = 0.3) -> list[int]:
     """Hashes of the terms in the band, over all documents."""
     n = docs.count()
-    counts = docs.select(F.explode(terms(text_of(text_col))).alias("term")).groupBy("term").count()
-    band = counts.where((F.col("count") >= low * n) & (F.col("count") <= high * n))
-    return sorted(r[0] for r in band.select(F.xxhash64("term")).distinct().collect())
+    counts = docs.select(text_of(text_col).alias("_t")).select(F.explode(F.expr(TERMS.format("_t"))).alias("term")).groupBy("term").count()
+    return sorted(r[0] for r in counts.where((F.col("count") >= low * n) & (F.col("count") <= high * n)).select("term").collect())
 
 
-def fingerprint(text: Column, words: list[int]) -> Column:
-    """One hash for each randomised lexicon (null: no term); with no term at all the text's hash in every place."""
-    kept = F.array_sort(F.filter(terms(text), lambda w: F.xxhash64(w).isin(words) if words else F.lit(False)))
-    marks = F.transform(kept, lambda w: F.xxhash64(F.lit(11), w))
+def fingerprint(text: str, words: list[int]) -> Column:
+    """Of the column ``text``: one hash for each randomised lexicon (null: no term); with no term at all the text's hash in every place."""
+    inside = ", ".join(map(str, words)) or "NULL"
+    marks = F.expr(f"sort_array(filter({TERMS.format(text)}, h -> h IN ({inside})))")
 
     def place(k: int, hashes: Column) -> Column:
         bits = (4, 6, 8)[k % 3]
@@ -98,12 +94,12 @@ def edited_fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", low:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     words = lexicon(docs, text_col, low, high)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("print", fingerprint(F.col("text"), words))
+    rows = rows.withColumn("print", fingerprint("text", words))
     rows = with_next(rows, ["text", "print"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.col("next_text").substr(F.lit(1), half))
     rows = rows.withColumn("edited", edited).drop("next_text")
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print", fingerprint(F.col("edited"), words).alias("edited_print"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print", fingerprint("edited", words).alias("edited_print"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("print")).alias("fingerprint"), written(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),

@@ -11,8 +11,8 @@ reduced sets have similarity J meet in some band with probability 1 - (1 - J^2)^
 0.99999 for 0.62. A full copy in a window with another license of its size has J = 0.5. What meets is verified: at
 least 0.8 of the template's shingles must stand in the window. Its span runs from the first to the last of them.
 
-Before all that a text is passed over if it has none of the anchors: every template shingle contains one,
-so no text with a shingle is lost. The template library bounds all that is held in plans.
+Before all that a text is passed over if it has none of the anchors, words of which every verified match
+contains one, so no match is lost. The template library bounds all that is held in plans.
 
 Null and empty texts have no matches. Copies of one template that stand within one window of each other are
 one span. Rows that repeat an id have a row each.
@@ -20,12 +20,16 @@ one span. Rows that repeat an id have a row each.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_of
+from tessera.llm.common import Scratch, table, text_of
 
 #: Notices of public licenses as they are published.
 TEMPLATES = {
@@ -64,6 +68,20 @@ def parts(templates: dict[str, str]) -> list[tuple[str, int, int, list[str], lis
     return out
 
 
+def anchors_of(shingle_sets: list[list[str]], containment: float) -> list[str]:
+    """A few long words: whoever has ``containment`` of any set's shingles has one of them."""
+    out: list[str] = []
+    for shingles in sorted(shingle_sets, key=len):
+        need = max(1, math.ceil(containment * len(shingles)))
+        left = [s for s in shingles if not set(s.split()) & set(out)]
+        while len(left) >= need:
+            count = Counter(w for s in left for w in set(s.split()))
+            best = max(count, key=lambda w: (min(len(w), 8), count[w], w))
+            out.append(best)
+            left = [s for s in left if best not in s.split()]
+    return sorted(out)
+
+
 def _signature(hash_: Column) -> list[Column]:
     return [F.min(F.xxhash64(F.lit(i), hash_)).alias(f"s{i}") for i in range(BANDS * ROWS)]
 
@@ -72,26 +90,28 @@ def _bands() -> Column:
     return F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col(f"s{b * ROWS + r}") for r in range(ROWS)]).alias("value")) for b in range(BANDS)]))
 
 
-def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
+def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, h, name, start, stop (words), share: one row per match. docs: doc_id, h, text."""
-    spark: SparkSession = docs.sparkSession
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark)
     library = parts(TEMPLATES if templates is None else templates)
-    anchors = sorted({max(s.split(), key=lambda w: (len(w), w)) for *_, shingles in library for s in shingles})
+    anchors = anchors_of([shingles for *_, shingles in library], containment)
     sizes = sorted({len(s.split()) for *_, shingles in library for s in shingles})
     rows = [(f"{n}\t{k}", n, w, len(sh), s) for n, k, w, _, sh in library for s in sh]
     schema = "template string, name string, window int, size int, shingle string"
     shingles = spark.createDataFrame(rows, schema).withColumn("hash", F.xxhash64("shingle"))
     known = sorted({r["hash"] for r in shingles.select("hash").collect()})
 
-    words = docs.select("doc_id", "h", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("w"))
-    some = words.where(F.arrays_overlap("w", F.split(F.lit(" ".join(anchors)), " "))) if anchors else words.where("false")
+    # the lower-cased text is bound once for all anchors
+    near = F.exists(F.array(F.lower("text")), lambda t: functools.reduce(lambda a, b: a | b, [t.contains(x) for x in anchors], F.lit(False)))
+    some = docs.where(near).select("doc_id", "h", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("w"))
     n = F.size("w")
 
     def of_size(size: int) -> Column:
         all_ = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("n"), F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, size), " ")).alias("hash")))
         return F.when(n >= size, F.filter(all_, lambda s: s["hash"].isin(known))).otherwise(F.filter(F.array(F.struct(F.lit(0).alias("at"), F.lit(size).alias("n"), F.lit(0).cast("long").alias("hash"))), lambda s: F.lit(False)))
 
-    hits = some.select("doc_id", "h", F.explode(F.concat(*[of_size(s) for s in sizes])).alias("s")).select("doc_id", "h", "s.*").distinct()
+    hits = scratch.keep(some.select("doc_id", "h", F.explode(F.concat(*[of_size(s) for s in sizes])).alias("s")).select("doc_id", "h", "s.*").distinct())
     scales = sorted({w for _, _, w, _, _ in library})
     where = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), (F.floor(F.col("at") / (w // 2)) - back).alias("k")) for w in scales for back in (0, 1)]))
     placed = hits.withColumn("p", where).select("doc_id", "h", "at", "n", "hash", "p.*")

@@ -17,6 +17,7 @@ scanned each; the result has a row for every row.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,10 +29,10 @@ from tessera.llm.common import table, text_of
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = (
     # kind, guard that any kept match implies, pattern with the kept value as its inner group
-    ("assign", r"(?i:password|passwd|secret|token|api_?key)", ASSIGN),
-    ("access", r"AKIA[A-Z0-9]{14}", r"(AKIA[A-Z0-9]{14,})"),
+    ("assign", ("password", "passwd", "secret", "token", "api_key", "apikey"), ASSIGN),
+    ("access", ("akia",), r"(AKIA[A-Z0-9]{14,})"),
     ("hex", r"[0-9a-f]{16}", r"([0-9a-f]{16,})"),
-    ("markov", r"[A-Za-z0-9+/_=-]{16}", r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,})"),
+    ("markov", None, r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,})"),
 )
 LEAST = {"assign": 12, "access": 18, "hex": 16, "markov": 16}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -76,6 +77,14 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     return logs, max(0.0, bar or 0.0)
 
 
+def _guard(text: Column, guard, pattern: str) -> Column:
+    """A cheap test that all texts with a kept match pass."""
+    if isinstance(guard, tuple):
+        # the lower-cased text is bound once for all words
+        return F.exists(F.array(F.lower(text)), lambda t: functools.reduce(lambda a, b: a | b, [t.contains(w) for w in guard]))
+    return text.rlike(guard) if guard else text.rlike("[0-9]") & text.rlike(pattern)
+
+
 def _row(order: int):
     def row(x: Column, i: Column) -> Column:
         value = x["hit"] if order == 3 else x["value"]
@@ -93,10 +102,11 @@ def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col("text")
     hits = []
     for order, (kind, guard, pattern) in enumerate(KINDS):
+        implied = _guard(text, guard, pattern)
         near = rf"(?s)\G(.*?)({pattern})"
         parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(near), F.lit(i)).alias(n) for i, n in ((1, "gap"), (2, "hit"), (3, "value"))])
 
-        hits.append(F.when(text.rlike(guard), F.transform(parts, _row(order))).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,n:int,value:string,size:int>>")))
+        hits.append(F.when(implied, F.transform(parts, _row(order))).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,n:int,value:string,size:int>>")))
     each = docs.select(F.col("doc_id"), F.xxhash64("text").alias("h"), F.explode(F.concat(*hits)).alias("m")).select("doc_id", "h", "m.*").distinct()
     w = Window.partitionBy("doc_id", "h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.col("n")).over(w)
