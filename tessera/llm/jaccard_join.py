@@ -13,9 +13,9 @@ one class, whose smallest id stands for it. Pairs of classes with Jaccard simila
    too much, or whose remaining columns can't reach the overlap any more.
 4. The remaining pairs' full rows are intersected, and pairs below the bound discarded.
 
-A column of many documents (near copies of one text) isn't expanded into all pairs: as components
-are what is asked for, its documents are first linked to the column's leader; linked documents
-share a component and need no further comparison. After ``star_rounds`` rounds of this all pairs
+A column (of near copies of one text, say) isn't expanded into all pairs at once: as components
+are what is asked for, its documents are first compared with the column's leader; linked documents
+share a component and need no further comparison, and no pair is verified twice. After ``star_rounds`` rounds of this all pairs
 of different components that are left in any column are compared, so no link between
 components is lost whatever the leaders were.
 
@@ -41,7 +41,6 @@ WIDTH, PARTS = 1 << 20, 64
 U = np.uint64
 #: Ids up to which the set of documents to verify may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-SMALL = 8
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -62,7 +61,7 @@ def rows(texts: list[str], words: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     start, size = 0, 0
     for i in range(len(data) + 1):
-        if i == len(data) or size > 2_000_000:
+        if i == len(data) or size > 1_000_000:
             out += _rows(data[start:i], words)
             start, size = i, 0
         if i < len(data):
@@ -120,6 +119,18 @@ def _texts(batches, words: int):
             yield b.column("doc_id").slice(i, step), rows(texts[i : i + step], words)
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """Six bytes of each hash: within two documents they tell n-grams apart as well as eight."""
+    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _unpacked(b) -> np.ndarray:
+    six = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, 2:] = six
+    return out.reshape(-1).view("<u8")
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, digest for each document; and for each task the segments of its sketch (part, counts)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -230,8 +241,7 @@ def shared_columns(entries: DataFrame, parts: int) -> DataFrame:
 def candidates(entries: DataFrame, percent: int, star: bool, parts: int) -> DataFrame:
     """Pairs a < b of documents in different components (``comp``) that may be similar.
 
-    With ``star``, a column of more than SMALL components gives only the pairs with its leader, the document
-    with the smallest hash.
+    With ``star``, a column gives only the pairs with its leader, the document with the smallest hash.
     """
     names = ["gram", "doc_id", "n", "place", "comp"]
 
@@ -257,7 +267,7 @@ def candidates(entries: DataFrame, percent: int, star: bool, parts: int) -> Data
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if (comp[s:e] == comp[s]).all():
                     continue
-                if star and e - s > SMALL:
+                if star:
                     i = np.arange(s, e)
                     lead = i[np.argmin(_mix(doc[s:e].astype(np.uint64)))]
                     count += put(np.full(e - s, lead), i)
@@ -284,7 +294,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                u, v = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 both = np.concatenate([u, v])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -322,16 +332,19 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words:
 
     def full(batches):
         for ids, sets in _texts(batches, words):
-            yield pa.record_batch([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
+            yield pa.record_batch([ids, pa.array([_packed(s) for s in sets], pa.binary())], ["doc_id", "grams"])
 
     sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(full, "doc_id long, grams binary"))
 
-    links, roots = scratch.keep(same_id), None
+    links, roots, tested = scratch.keep(same_id), None, None
     for turn in range(star_rounds + 1):
         named = entries.withColumn("comp", F.col("doc_id"))
         if roots is not None:
             named = entries.join(roots, F.col("doc_id") == F.col("node"), "left").select(*entries.columns, F.coalesce("root", "doc_id").alias("comp"))
-        found = scratch.keep(verified(candidates(named, percent, turn < star_rounds, parts), sets, percent))
+        pairs = candidates(named, percent, turn < star_rounds, parts)
+        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.union(pairs)
+        found = scratch.keep(verified(pairs, sets, percent))
         if turn and found.isEmpty() and turn == star_rounds:
             break
         links = links.select("a", "b").union(found) if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
