@@ -2,10 +2,10 @@
 
 1. Texts are split into words (the byte-level pre-tokenizer's pattern) block by block. A block,
    a run of documents of up to ``block_chars`` characters, becomes one row with the sequence of
-   word numbers and one row for each of its distinct words.
-2. The word rows of all blocks are dealt out by word and sorted, so equal words of all blocks are
-   neighbours: the distinct-word table. Each distinct word is encoded once.
-3. The ids go back by (block, word number) and are put in place by position.
+   word numbers, and its distinct words, packed by bucket (a hash of the word), one row for each.
+2. The packed words of all blocks are dealt out and sorted by bucket: a bucket's rows make its part of the
+   distinct-word table. Each distinct word is encoded once.
+3. The ids go back by (block, bucket) in the order of the words and are put in place by position.
 4. Decoding joins ids to the vocabulary's pieces, whose number the vocabulary bounds.
 
 Only sequences of word numbers travel, not texts; a frequent word is one row per block. Null
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -123,88 +124,129 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(x.T).reshape(-1).view("<u4")
 
 
-BLOCKS = "block string, n long, word string, ids binary, lens binary, doc binary"
+#: Buckets of the distinct-word table for each shuffle partition, so that a bucket's words fit in memory.
+SPREAD = 16
+BLOCKS = "block string, bucket int, words binary, ids binary, lens binary, doc binary"
+NAMES = ["block", "bucket", "words", "ids", "lens", "doc"]
 
 
-def blocks(docs: DataFrame, special: str, block_chars: int) -> DataFrame:
-    """Of each block: a row n = -1 with word numbers (ids), words per document (lens) and document ids (doc); a row for each distinct word."""
+def _pack(strings: list[str]) -> bytes:
+    data = [x.encode("utf-8", "surrogatepass") for x in strings]
+    return zstandard.ZstdCompressor(3).compress(np.array([len(data), *map(len, data)], "<u4").tobytes() + b"".join(data))
+
+
+def _unpack(b: bytes) -> list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    n = int.from_bytes(raw[:4], "little")
+    at = 4 * (n + 1)
+    out = []
+    for k in np.frombuffer(raw, "<u4", n, 4).tolist():
+        out.append(raw[at : at + k].decode("utf-8", "surrogatepass"))
+        at += k
+    return out
+
+
+def blocks(docs: DataFrame, special: str, block_chars: int, buckets: int) -> DataFrame:
+    """Of each block: a row of bucket -1 with word numbers (ids), words per document (lens) and document ids (doc); a row of words for each bucket.
+
+    Word numbers count the block's words bucket by bucket, and in the bucket's order.
+    """
     names = docs.columns
 
     def run(batches):
         from pyspark import TaskContext
 
         task, number, spec = TaskContext.get().partitionId(), 0, re.compile(special) if special else None
-
-        def block(ids: list, texts: list[str]) -> pa.RecordBatch:
-            nonlocal number
-            seen: dict[str, int] = {}
-            lens, seq = [], []
-            for t in texts:
-                words = split_words(t, spec)
-                lens.append(len(words))
-                put = seen.setdefault
-                seq += [put(w, len(seen)) for w in words]
-            x = np.array(seq, np.uint32)
-            order = np.argsort(-np.bincount(x, minlength=len(seen)), kind="stable")
-            rank = np.empty(len(seen), np.uint32)
-            rank[order] = np.arange(len(seen))
-            at = f"{task}-{number}"
-            number += 1
+        seen: dict[str, int] = {}
+        seq: list[np.ndarray] = []
+        lens: list[int] = []
+        ids: list[pa.Array] = []
+        chars = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, chars
+            words = list(seen)
+            bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            x = np.concatenate(seq) if seq else np.empty(0, np.uint32)
+            # sorted within the bucket: packs better
+            order = np.array(sorted(order.tolist(), key=lambda i: (bucket[i], words[i])), np.int64)
+            number_of = np.empty(len(words), np.uint32)
+            number_of[order] = np.arange(len(words))
+            rank_of = np.empty(len(words), np.uint32)
+            by_count = np.argsort(-np.bincount(x, minlength=len(words)), kind="stable")
+            rank_of[by_count] = np.arange(len(words))
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(cut))
+            packed = [_pack([words[i] for i in order[cut[k] : cut[k + 1]].tolist()]) for k in some.tolist()]
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as w:
-                w.write_batch(pa.record_batch([ids], ["id"]))
-            k = len(seen)
-            return pa.record_batch(
+            with pa.ipc.new_stream(sink, pa.schema([("id", ids[0].type)])) as w:
+                for i in ids:
+                    w.write_batch(pa.record_batch([i], ["id"]))
+            at, n = f"{task}-{number}", len(some)
+            number += 1
+            # the sequence holds ranks by frequency (small numbers); the table of ranks leads to word numbers
+            head = _planes(np.concatenate([np.array([len(words)], np.uint32), number_of[by_count], rank_of[x]]))
+            out = pa.record_batch(
                 [
-                    pa.array([at] * (k + 1), pa.string()),
-                    pa.array(np.concatenate([[-1], rank.astype(np.int64)]), pa.int64()),
-                    pa.array(["", *seen], pa.string()),
-                    pa.array([_planes(rank[x]), *[None] * k], pa.binary()),
-                    pa.array([np.array(lens, "<i8").tobytes(), *[None] * k], pa.binary()),
-                    pa.array([sink.getvalue().to_pybytes(), *[None] * k], pa.binary()),
+                    pa.array([at] * (n + 1), pa.string()), pa.array([-1, *some.tolist()], pa.int32()), pa.array([None, *packed], pa.binary()),
+                    pa.array([head, *[None] * n], pa.binary()), pa.array([np.array(lens, "<i8").tobytes(), *[None] * n], pa.binary()), pa.array([sink.getvalue().to_pybytes(), *[None] * n], pa.binary()),
                 ],
-                ["block", "n", "word", "ids", "lens", "doc"],
-            )
+                NAMES,
+            )
+            for held in (seen, seq, lens, ids):
+                held.clear()
+            chars = 0
+            return out
 
         for b in batches:
-            texts, start, chars = b.column(names.index("text")).to_pylist(), 0, 0
-            ids = b.column(names.index("doc_id"))
+            texts, doc_ids = b.column(names.index("text")).to_pylist(), b.column(names.index("doc_id"))
+            start = 0
             for i, t in enumerate(texts):
-                if i > start and chars + len(t) > block_chars:
-                    yield block(ids.slice(start, i - start), texts[start:i])
-                    start, chars = i, 0
-                chars += len(t)
-            if start < len(texts):
-                yield block(ids.slice(start), texts[start:])
+                if chars and chars + len(t) > block_chars:
+                    if i > start:
+                        ids.append(doc_ids.slice(start, i - start))
+                    yield flush()
+                    start = i
+                words = split_words(t, spec)
+                lens.append(len(words))
+                put = seen.setdefault
+                seq.append(np.fromiter((put(w, len(seen)) for w in words), np.uint32, len(words)))
+                chars += len(t) + 1
+            if len(texts) > start:
+                ids.append(doc_ids.slice(start))
+        if lens:
+            yield flush()
 
     return docs.mapInArrow(run, BLOCKS)
 
 
 def encode_words(rows: DataFrame, key: str, spec, parts: int) -> DataFrame:
-    """(block, n, ids) for each word row; equal words stand together and are encoded once."""
+    """(block, bucket, ids) for each pack of words; a bucket's packs stand together and each of its distinct words is encoded once."""
 
     def pick(batches):
         for b in batches:
-            yield b.filter(pa.compute.greater_equal(b.column("n"), 0)).select(["block", "n", "word"])
+            yield b.filter(pa.compute.greater_equal(b.column("bucket"), 0)).select(["block", "bucket", "words"])
 
     def run(batches):
-        coder, last, last_ids = Coder.of(key, spec.value), None, b""
+        coder, bucket, known = Coder.of(key, spec.value), None, {}
         for b in batches:
-            words = b.column("word").to_pylist()
-            new = [i for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-            got = dict(zip(new, coder.encode([words[i] for i in new]), strict=True))
-            ids = []
-            for i in range(len(words)):
-                last_ids = got.get(i, last_ids)
-                ids.append(last_ids)
-            last = words[-1] if words else last
-            yield pa.record_batch([b.column("block"), b.column("n"), pa.array(ids, pa.binary())], ["block", "n", "ids"])
-
-    words = rows.mapInArrow(pick, "block string, n long, word string")
-    return words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "block string, n long, ids binary")
-
-
-def encode(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", digests: bool = False, block_chars: int = 12_000_000, parts: int | None = None) -> DataFrame:
+            out = []
+            for at, pack in zip(b.column("bucket").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if at != bucket:
+                    bucket, known = at, {}
+                words = _unpack(pack)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, coder.encode(new), strict=True))
+                ids = [known[w] for w in words]
+                out.append(zstandard.ZstdCompressor(3).compress(np.array([len(ids), *map(len, ids)], "<u4").tobytes() + b"".join(ids)))
+            yield pa.record_batch([b.column("block"), b.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
+
+    words = rows.mapInArrow(pick, "block string, bucket int, words binary")
+    return words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block string, bucket int, ids binary")
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", digests: bool = False, block_chars: int = 24_000_000, parts: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids array<int>, decoded string; with ``digests`` their SHA-256 instead."""
     spark = docs.sparkSession
     ship(spark)
@@ -215,7 +257,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", di
     id_type = docs.schema["doc_id"].dataType.simpleString()
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     shared = spark.sparkContext.broadcast(spec)
-    whole = blocks(docs, special, block_chars).repartition(parts, "block")
+    whole = blocks(docs, special, block_chars, SPREAD * parts).repartition(parts, "block")
 
     words = encode_words(whole, key, shared, parts)
     out = f"doc_id {id_type}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
@@ -224,18 +266,26 @@ def encode(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", di
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         coder = Coder.of(key, shared.value)
-        left = left.filter(pa.compute.equal(left.column("n"), -1))
-        order = np.argsort(right.column("n").to_numpy())
-        packed = right.column("ids").combine_chunks().take(pa.array(order)).to_pylist() if len(order) else []
-        ids = [np.frombuffer(b, coder.kind).tolist() for b in packed]
+        left = left.filter(pa.compute.equal(left.column("bucket"), -1))
+        ids: list[list[int]] = []
+        for _, pack in sorted(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True)):
+            raw = zstandard.ZstdDecompressor().decompress(pack)
+            n = int.from_bytes(raw[:4], "little")
+            all_, sizes = np.frombuffer(raw, coder.kind, offset=4 * (n + 1)).tolist(), (np.frombuffer(raw, "<u4", n, 4) // np.dtype(coder.kind).itemsize).tolist()
+            upto = 0
+            for k in sizes:
+                ids.append(all_[upto : upto + k])
+                upto += k
         piece = coder.pieces()
         plain = [b"".join([piece[i] for i in x]) for x in ids]
         count = np.array([len(x) for x in ids], np.int64)
         marks = [",".join(map(str, x)) for x in ids] if digests else ids
         doc_ids, rows = [], []
         for seq, lens, doc in zip(*(left.column(c).to_pylist() for c in ("ids", "lens", "doc")), strict=True):
-            doc_ids.append(pa.ipc.open_stream(doc).read_all().column("id").combine_chunks())
+            doc_ids += pa.ipc.open_stream(doc).read_all().column("id").chunks
             x, upto = _unplanes(seq), 0
+            k = int(x[0])
+            x = x[1 : k + 1][x[k + 1 :]]
             for k in np.frombuffer(lens, "<i8").tolist():
                 at = x[upto : upto + k]
                 upto += k
