@@ -213,8 +213,13 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, ordinary_d
     """At most so many documents of each class, those with the smallest hashes, and of each at most train_chars characters."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = {bool(r["t"]): r["count"] for r in marks.groupBy((F.col("toxic") > 0).alias("t")).count().collect()}
-    rows = docs.join(marks, "doc_id").select((F.col("toxic") > 0).alias("toxic"), F.substring("text", 1, train_chars).alias("text"), F.xxhash64(F.lit(5), "doc_id").alias("h"))
-    parts = [rows.where(F.col("toxic") == c).orderBy("h", "text").limit(n) for c, n in ((False, ordinary_docs), (True, toxic_docs))]
+    # the ids are chosen without the texts; only the texts of the chosen ids, a bounded number, are read after that
+    hash_ = F.xxhash64(F.lit(5), "doc_id").alias("h")
+    ids = docs.select("doc_id").join(marks, "doc_id").select("doc_id", (F.col("toxic") > 0).alias("toxic"), hash_)
+    limits = ((False, ordinary_docs), (True, toxic_docs))
+    chosen = [ids.where(F.col("toxic") == c).orderBy("h").limit(n).select("doc_id").distinct() for c, n in limits]
+    rows = [docs.join(F.broadcast(x), "doc_id", "left_semi").select(F.lit(c).alias("toxic"), F.substring("text", 1, train_chars).alias("text"), hash_) for x, (c, _) in zip(chosen, limits, strict=True)]
+    parts = [r.orderBy("h", "text").limit(n) for r, (_, n) in zip(rows, limits, strict=True)]
     got = parts[0].union(parts[1]).toArrow()
     texts, toxic = [t or "" for t in got.column("text").to_pylist()], np.array(got.column("toxic").to_pylist(), bool)
     return fit(texts, toxic, share.get(False, 1) / max(1, share.get(True, 1)))
