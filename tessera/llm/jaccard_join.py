@@ -10,14 +10,16 @@ one class, whose smallest id stands for it. Pairs of classes with Jaccard simila
    ceil(percent * (x + y) / (100 + percent)) n-grams; so they meet in the first
    x - ceil(percent * x / 100) + 1 columns of each. Only these prefixes enter the product.
 3. The columns are dealt out in blocks. Within a column, pairs are discarded whose sizes differ
-   too much, or whose remaining columns can't reach the overlap any more.
+   too much, or whose remaining columns can't reach the overlap any more; and so are single
+   entries that no partner of their column could make a pair with.
 4. The remaining pairs' full rows are intersected, and pairs below the bound discarded.
 
 A column (of near copies of one text, say) isn't expanded into all pairs at once: as components
-are what is asked for, its documents are first compared with the column's leader; linked documents
-share a component and need no further comparison, and no pair is verified twice. After ``star_rounds`` rounds of this all pairs
-of different components that are left in any column are compared, so no link between
-components is lost whatever the leaders were.
+are what is asked for, its documents are first compared with the column's leader, the one with the
+fewest rarer n-grams; linked documents share a component and need no further comparison, and no
+pair is verified twice. Further leaders come from those outside the first one's component. After
+``star_rounds`` rounds of this all pairs of different components that are left in any column are
+compared, so no link between components is lost whatever the leaders were.
 
 Texts without words have an empty row and no links; texts of fewer than ``words`` words have one
 n-gram, all of them. Null text is empty. Rows that share an id are one node. Rows without an id
@@ -223,71 +225,80 @@ def _runs(batches, names):
         yield held
 
 
-def shared_columns(entries: DataFrame, parts: int) -> DataFrame:
-    """Entries of columns with at least two documents."""
+def shared_columns(entries: DataFrame, percent: int, parts: int) -> DataFrame:
+    """The entries that may belong to a similar pair of their column, each with the column's leader.
+
+    Of a pair the smaller document (or both, of equal sizes) needs 2 * percent * n / (100 + percent)
+    of its n-grams from its place on; an entry with fewer needs a smaller partner that has them. The
+    leader is the document with the fewest rarer n-grams, the one most like the rest.
+    """
     names = ["gram", "doc_id", "n", "place"]
 
     def run(batches):
         for cols in _runs(batches, names):
-            edge = np.flatnonzero(np.diff(cols[0])) + 1
-            size = np.diff(np.concatenate([[0], edge, [len(cols[0])]]))
-            keep = np.repeat(size > 1, size)
-            if keep.any():
-                yield pa.record_batch([pa.array(c[keep]) for c in cols], names)
+            gram, doc, n, place = (c.astype(np.int64) for c in cols)
+            start = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1])
+            col = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(gram)]])))
+            smaller = n - place >= -(-2 * percent * n // (100 + percent))
+            least = np.minimum.reduceat(np.where(smaller, n, 1 << 40), start)[col]
+            keep = smaller | ((least <= n) & (n - place >= -(-percent * (n + least) // (100 + percent))))
+            keep &= (np.add.reduceat(keep.astype(np.int64), start) > 1)[col]
+            if not keep.any():
+                continue
+            gram, doc, n, place = (x[keep] for x in (gram, doc, n, place))
+            order = np.lexsort((_mix(doc.astype(np.uint64)), place, gram))
+            gram, doc, n, place = (x[order] for x in (gram, doc, n, place))
+            start = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1])
+            size = np.diff(np.concatenate([start, [len(gram)]]))
+            out = [gram, doc, n.astype(np.int32), place.astype(np.int32)]
+            out += [np.repeat(x[start], size) for x in out[1:]]
+            yield pa.record_batch([pa.array(x) for x in out], [*names, "lead", "lead_n", "lead_place"])
 
-    return entries.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, doc_id long, n int, place int")
+    return entries.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, doc_id long, n int, place int, lead long, lead_n int, lead_place int")
 
 
-def candidates(entries: DataFrame, percent: int, star: bool, parts: int) -> DataFrame:
-    """Pairs a < b of documents in different components (``comp``) that may be similar.
+def _possible(n1, p1, n2, p2, percent: int):
+    """Whether documents of n1 and n2 n-grams can reach the similarity if the first they share is at these places."""
+    n1, n2 = n1.cast("long"), n2.cast("long")
+    need = F.ceil(percent * (n1 + n2) / (100 + percent))
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= need)
 
-    With ``star``, a column gives only the pairs with its leader, the document with the smallest hash.
-    """
-    names = ["gram", "doc_id", "n", "place", "comp"]
 
-    def possible(n1, p1, n2, p2):
-        small, large = np.minimum(n1, n2), np.maximum(n1, n2)
-        need = -(-percent * (n1 + n2) // (100 + percent))
-        return (100 * small >= percent * large) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
-    def run(batches):
-        for cols in _runs(batches, names):
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1, [len(cols[0])]])
-            _, doc, n, place, comp = (c.astype(np.int64) for c in cols)
-            got: list[np.ndarray] = []
-            count = 0
-
-            def put(i, j):
-                ok = (comp[i] != comp[j]) & possible(n[i], place[i], n[j], place[j])
-                x, y = doc[i][ok], doc[j][ok]
-                if len(x):
-                    got.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                return len(x)
-
-            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if (comp[s:e] == comp[s]).all():
-                    continue
-                if star:
-                    i = np.arange(s, e)
-                    lead = i[np.argmin(_mix(doc[s:e].astype(np.uint64)))]
-                    count += put(np.full(e - s, lead), i)
-                else:
-                    for i in range(s, e - 1):
-                        count += put(np.full(e - i - 1, i), np.arange(i + 1, e))
-                if count > 50_000:
-                    pairs = np.unique(np.concatenate(got), axis=0)
-                    yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-                    got.clear()
-                    count = 0
-            if got:
-                pairs = np.unique(np.concatenate(got), axis=0)
-                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return entries.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long").distinct()
+
+def leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of each column's leader with the column's other documents."""
+    c = F.col
+    return _pairs(entries.where((c("doc_id") != c("lead")) & _possible(c("n"), c("place"), c("lead_n"), c("lead_place"), percent)), "doc_id", "lead")
+
+
+def rest_pairs(entries: DataFrame, roots: DataFrame, percent: int, turn: int | None) -> DataFrame:
+    """Pairs a < b of documents of different components that share a column.
+
+    Documents of the leader's component needn't be compared with each other, so each pair has one
+    outside it. With a ``turn``, of those outside only one by column, another leader, is compared.
+    """
+    near = F.broadcast(roots) if roots.count() <= BROADCAST_IDS else roots
+    own, head = (near.select(F.col("node").alias(f"node{i}"), F.col("root").alias(f"root{i}")) for i in (0, 1))
+    named = entries.join(own, F.col("doc_id") == F.col("node0"), "left").join(head, F.col("lead") == F.col("node1"), "left").select(
+        "gram", "doc_id", "n", "place", F.coalesce("root0", "doc_id").alias("comp"), F.coalesce("root1", "lead").alias("lead_comp")
+    )
+    outside = named.where("comp <> lead_comp").select("gram", F.struct("doc_id", "n", "place", "comp").alias("o"))
+    if turn is not None:
+        first = F.struct(F.lit(0) if turn > 1 else F.col("o.place"), F.xxhash64(F.lit(turn), "o.doc_id"))
+        outside = outside.groupBy("gram").agg(F.min_by("o", first).alias("o"))
+    c = F.col
+    met = named.join(outside, "gram").where((c("comp") != c("o.comp")) & _possible(c("n"), c("place"), c("o.n"), c("o.place"), percent))
+    return _pairs(met, "doc_id", "o.doc_id")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full rows reach the similarity."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    # only the rows of documents in pairs travel
+    sets = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"set_{x}")) for x in "ab")
 
     def run(batches):
@@ -324,7 +335,7 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words:
 
     shared = spark.sparkContext.broadcast(sketch_of(seen))
     prefix = prefixes(docs, words, percent, shared).where("length(prefix) > 0").join(reps, "doc_id", "left_semi")
-    entries = scratch.keep(shared_columns(columns(prefix), parts))
+    entries = scratch.keep(shared_columns(columns(prefix), percent, parts))
 
     wanted = entries.select("doc_id").distinct()
     if wanted.count() <= BROADCAST_IDS:
@@ -338,15 +349,15 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words:
 
     links, roots, tested = scratch.keep(same_id), None, None
     for turn in range(star_rounds + 1):
-        named = entries.withColumn("comp", F.col("doc_id"))
-        if roots is not None:
-            named = entries.join(roots, F.col("doc_id") == F.col("node"), "left").select(*entries.columns, F.coalesce("root", "doc_id").alias("comp"))
-        pairs = candidates(named, percent, turn < star_rounds, parts)
+        if turn == 0:
+            pairs = leader_pairs(entries, percent)
+        else:
+            pairs = rest_pairs(entries, roots, percent, turn if turn < star_rounds else None)
         pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
         found = scratch.keep(verified(pairs, sets, percent))
-        if turn and found.isEmpty() and turn == star_rounds:
-            break
+        if turn and found.isEmpty():
+            continue
         links = links.select("a", "b").union(found) if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
         roots = components(links, scratch)
     out = classes.join(roots, F.col("rep") == F.col("node"), "left")
