@@ -137,6 +137,27 @@ def test_fingerprints(spark):
     assert np.mean([got[i].near_edited for i in range(40)]) > np.mean([got[i].near_next for i in range(40)])
 
 
+@pytest.mark.parametrize("edits", [0, 4])
+def test_fingerprints_of_a_large_copy_group(spark, edits):
+    """A third of the rows are copies, or near copies, of one text; some of the rest have rare words only."""
+    rng = random.Random(8)
+    base = [f"own{i}" for i in range(50)] + rng.choices(WORDS, k=50)
+    texts = [" ".join(rng.choices(WORDS, k=100)) for _ in range(180)]
+    odd = [f"odd{i}" for i in range(60)]
+    texts += [" ".join(odd), " ".join([*odd[:-1], "other"])]
+    for _ in range(90):
+        w = list(base)
+        for _ in range(edits):
+            w[rng.randrange(100)] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    # the first of the group is followed by others of it, the last by a text that isn't
+    got = {r.doc_id: r for r in imatch.edited_fingerprints(docs_of(spark, texts + texts[:1])).collect()}
+    alone = [got[i].near_next for i in range(179)]
+    near = [got[i].near_next for i in range(182, 271)]
+    assert np.mean(near) > 0.6 > 0.3 > np.mean(alone)
+    assert got[180].near_next > 0.5 and got[271].near_edited > 0.1
+
+
 def test_language(spark):
     rng = random.Random(5)
     lang = {"aa": "ban kal mer tiv".split(), "bb": "xo quy zin wup".split()}
