@@ -6,10 +6,10 @@ document's text is cut into overlapping windows of 16 to 128 words, half a windo
 that suits a template is at least twice as long, so some window holds each copy whole. A window's
 set is reduced to shingles that any template has, which changes nothing in what it shares with a template.
 
-MinHash signatures of windows and templates are cut into 24 bands of 2 rows. A window and a template whose
-reduced sets have similarity J meet in some band with probability 1 - (1 - J^2)^24: 0.9990 for J = 0.5,
-0.99999 for 0.62. A full copy in a window with another license of its size has J = 0.5. What meets is verified: at
-least 0.8 of the template's shingles must stand in the window. Its span runs from the first to the last of them.
+Windows and templates are joined by the hashes of their shingles, so nothing that stands beside a copy can
+hide it: each template's shingles in each window of its size are counted exactly, and at least 0.8 of the
+template's must stand in the window. Its span runs from the first to the last of them. The shingles that are joined are
+the library's alone, so the rows made are bounded by the hits and the templates that share a shingle.
 
 Before all that a text is passed over if it has none of the anchors, words of which every verified match
 contains one, so no match is lost. The template library bounds all that is held in plans.
@@ -47,7 +47,6 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 WORDS, PART = 5, 48
-BANDS, ROWS = 24, 2
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -82,14 +81,6 @@ def anchors_of(shingle_sets: list[list[str]], containment: float) -> list[str]:
     return sorted(out)
 
 
-def _signature(hash_: Column) -> list[Column]:
-    return [F.min(F.xxhash64(F.lit(i), hash_)).alias(f"s{i}") for i in range(BANDS * ROWS)]
-
-
-def _bands() -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col(f"s{b * ROWS + r}") for r in range(ROWS)]).alias("value")) for b in range(BANDS)]))
-
-
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, h, name, start, stop (words), share: one row per match. docs: doc_id, h, text."""
     spark = docs.sparkSession
@@ -117,10 +108,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, cont
     placed = hits.withColumn("p", where).select("doc_id", "h", "at", "n", "hash", "p.*")
     placed = placed.where((F.col("k") >= 0) & (F.col("at") + F.col("n") <= F.col("k") * F.col("window") / 2 + F.col("window")))
     key = ["doc_id", "h", "window", "k"]
-    banded = placed.groupBy(*key).agg(*_signature(F.col("hash"))).select(*key, _bands().alias("b")).select(*key, "b.*")
-    library_bands = shingles.groupBy("template", "name", "window", "size").agg(*_signature(F.col("hash"))).select("template", "name", "window", "size", _bands().alias("b")).select("template", "name", "window", "size", "b.*")
-    met = banded.join(library_bands, ["window", "band", "value"]).select(*key, "template", "name", "size").distinct()
-    inside = met.join(placed, key).join(shingles.select("template", "hash"), ["template", "hash"])
+    inside = placed.join(F.broadcast(shingles.select("template", "name", "window", "size", "hash")), ["window", "hash"])
     sure = inside.groupBy(*key, "template", "name", "size").agg(F.countDistinct("hash").alias("got"), F.min("at").alias("start"), F.max(F.col("at") + F.col("n")).alias("stop"))
     sure = sure.where(F.col("got") >= containment * F.col("size"))
     # windows overlap: spans of a template that touch are one

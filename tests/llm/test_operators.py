@@ -137,6 +137,18 @@ def test_fingerprints(spark):
     assert np.mean([got[i].near_edited for i in range(40)]) > np.mean([got[i].near_next for i in range(40)])
 
 
+def test_short_notices_beside_long_ones(spark):
+    """A notice of few shingles directly before a licence text, at every offset of the windows."""
+    rng = random.Random(9)
+    pairs = [("reserved", "bsd"), ("reserved", "mit"), ("reserved", "apache-2.0"), ("reserved", "gpl"), ("mit-notice", "mit"), ("apache-2.0-notice", "isc")]
+    cases = [(at, *p) for p in pairs for at in range(64)]
+    texts = [" ".join([*rng.choices(WORDS, k=at), licenses.TEMPLATES[a], licenses.TEMPLATES[b], *rng.choices(WORDS, k=20)]) for at, a, b in cases]
+    got = {r.doc_id: {m.split(":")[0]: m.split(":")[1:] for m in r.licenses.split(",") if m} for r in licenses.licenses(docs_of(spark, texts)).collect()}
+    for k, (at, a, b) in enumerate(cases):
+        n = len(re.findall(r"[^\W_]+", licenses.TEMPLATES[a]))
+        assert got[k][a] == [str(at), str(at + n)] and b in got[k], (at, a, b)
+
+
 @pytest.mark.parametrize("edits", [0, 4])
 def test_fingerprints_of_a_large_copy_group(spark, edits):
     """A third of the rows are copies, or near copies, of one text; some of the rest have rare words only."""
