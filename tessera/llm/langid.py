@@ -215,13 +215,32 @@ def fit(samples: dict[str, list[str]]) -> Model | None:
 
 
 def train(docs: DataFrame, chars: int = 400_000) -> Model | None:
-    """From texts with a language: of each about ``chars`` characters, documents by smallest hash (share by total length)."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", "doc_id")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    """From texts with a language: of each, documents by smallest hash until there are ``chars`` characters, one at least."""
+    hash_ = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(3), "text")).otherwise(F.xxhash64(F.lit(3), "doc_id"))
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", hash_.alias("h"))
+    sizes = rows.select("lang", "h", F.length("text").alias("n"))
+    totals = sizes.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
+    # of each language so large a share that it very likely has the characters; more where it has not
+    share = {r["lang"]: min(1.0, 1.5 * chars / max(1, r["n"]) + 20 / r["k"]) for r in totals}
+    last: dict[str, int] = {}
+    while share:
+        some = F.lit(False)
+        for lang, x in share.items():
+            some = some | ((F.col("lang") == lang) & (F.col("h") / 2.0**64 + 0.5 <= x))
+        got = sizes.where(some).toArrow().to_pylist()
+        for lang in list(share):
+            total = 0
+            for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: r["h"]):
+                total, last[lang] = total + r["n"], r["h"]
+                if total >= chars:
+                    break
+            if total >= chars or share[lang] >= 1:
+                del share[lang]
+            else:
+                share[lang] = min(1.0, 4 * share[lang])
     keep = F.lit(False)
-    place = (F.xxhash64(F.lit(3), "doc_id") / 2.0**64) + 0.5
-    for lang, n in totals.items():
-        keep = keep | ((F.col("lang") == lang) & (place < min(1.0, chars / max(1, n))))
+    for lang, h in last.items():
+        keep = keep | ((F.col("lang") == lang) & (F.col("h") <= h))
     got = rows.where(keep).select("lang", "text").toArrow().to_pylist()
     samples: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["text"])):

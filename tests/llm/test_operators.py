@@ -183,6 +183,18 @@ def test_language(spark):
     assert all(np.all(np.exp(logs) <= 1 + 1e-9) for _, logs in model.grams)
 
 
+def test_language_of_few_long_documents(spark):
+    """Ten documents hold far more characters than are trained on: each set of ids still gives its language a sample."""
+    rng = random.Random(7)
+    lang = {"aa": "ban kal mer tiv".split(), "bb": "xo quy zin wup".split()}
+    make = lambda x, n: " ".join("".join(rng.choices(lang[x], k=2)) for _ in range(n))
+    long, short = [make("aa", 800) for _ in range(10)], [make("bb", 10) for _ in range(200)]
+    for base in range(0, 60, 10):
+        rows = [(base + i, t, "aa") for i, t in enumerate(long)] + [(1000 + i, t, "bb") for i, t in enumerate(short)]
+        model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=2000)
+        assert model.predict([make("aa", 20), make("bb", 20)])[0] == ["aa", "bb"]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     fill = lambda: " ".join("".join(rng.choices(["ba", "do", "ke", "li", "mu", "ra", "ti"], k=rng.randint(1, 3))) for _ in range(120))
