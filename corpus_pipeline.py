@@ -62,11 +62,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group linked by similarity of 0.8 on five-word shingles stays, the one with the smallest id."""
+    """One row of each group linked by similarity of 0.8 on five-word shingles stays, the one with the smallest id. Rows are told apart by id and text."""
     scratch = _fresh(spark)
-    groups = scratch.keep(jaccard_join.jaccard_components(docs, words=5, percent=80, scratch=scratch))
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    docs = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")))
+    groups = scratch.keep(jaccard_join.jaccard_components(docs, id_col="_key", words=5, percent=80, scratch=scratch))
+    # groups may be large, so rows are joined by their own key only
+    linked = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
+    members = scratch.keep(linked.union(linked.select("_group", "_group")).distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("f")
+    stay = docs.select("_key", "doc_id").join(members, "_key").groupBy("_group").agg(first).select("f._key")
+    gone = scratch.keep(members.select("_key").join(stay, "_key", "left_anti"))
+    rest = docs.join(gone, "_key", "left_anti")
+    twins = scratch.keep(groups.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).count().where("count > 1").select("_key"))
+    if not twins.isEmpty():
+        rest = rest.join(twins, "_key", "left_anti").unionByName(rest.join(twins, "_key", "left_semi").dropDuplicates(["_key"]))
+    return rest.drop("_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

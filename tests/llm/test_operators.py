@@ -225,3 +225,19 @@ def test_pipeline_stages(spark, tmp_path):
             assert {r.doc_id for r in after.collect()} == {min(v) for v in texts.values()}
         docs = after
     assert p.to_tokens(spark, docs, sf).count() == docs.count()
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(10)
+    text = lambda: " ".join(rng.choices(WORDS, k=80))
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t: t + " tail"
+    rows = [(1, a), (2, near(a)), (2, b), (3, c), (3, near(c)), (None, d), (None, near(d)), (9, near(b) + " more"), (None, near(a) + " end"), (5, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in p.drop_near_copies(spark, docs, "").collect())
+    assert len(got) == 6 and {(1, a), (2, b), (5, ""), (0, "")} < set(got)
+    assert len({(3, c), (3, near(c))} & set(got)) == 1 and len({(0, d), (0, near(d))} & set(got)) == 1
+    twice = p.drop_near_copies(spark, docs.where("doc_id = 1").union(docs.where("doc_id = 1")), "")
+    assert twice.count() == 1
