@@ -1,24 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Every window of a
-text, about ``WINDOW`` bytes cut at blanks, is compressed with each; the difference of the two
-lengths says which kind of text explains the window better. The toxic dictionary holds the
-ordinary one's content too, so windows without toxic passages come out nearly equal.
-
-Only a few words of a toxic document are toxic, so a trainer of frequent segments would fill the
-toxic dictionary with what all texts share. Its content is therefore chosen by contrast: stretches
-that stand in many more surroundings in toxic than in ordinary documents. A window that has none
-of its pieces is the same to both dictionaries and is not compressed. A document's features are
-counts and sums of its windows' differences above calibrated thresholds; a logistic curve, fitted
-to the training documents and weighted to the classes' true shares, turns them into the score.
-
-Training takes a bounded sample of the labelled documents (see ``train``); scoring takes whole
-texts. Null and empty texts have no windows and get the score of no evidence. Labels that
-disagree for an id count as toxic if any does. With no documents of one class every score is 0.
+Two zstandard dictionaries are trained with the library's trainer: one on ordinary text, one on toxic text.
+Every window of a text, about ``WINDOW`` bytes cut at blanks, is compressed with each; the difference of the two
+lengths says which kind of text explains the window better. The second compressor has the ordinary dictionary
+behind the toxic one, so windows without toxic passages come out nearly equal.
+
+Only a few words of a toxic document are toxic. A trainer that takes what is frequent would fill the toxic
+dictionary with what all texts share, so it is trained on the toxic stretches of toxic documents: those whose
+byte n-grams stand in so many more toxic than ordinary documents that chance can't explain it (``SURE``). Near
+copies count as one document there. A document's features are counts and sums of its windows' differences above
+calibrated thresholds (quantiles of ordinary windows); a logistic curve turns them into the score. Thresholds and
+curve come from documents that the toxic dictionary in use was not trained on (``FOLDS`` parts, each scored with
+the dictionary of the others), weighted to the classes' true shares among the labelled training documents.
+
+Training takes a bounded number of the labelled documents (see ``train``), each with its whole text; scoring takes
+whole texts, of any length. Null and empty texts have no windows and get the score of no evidence. Rows that
+repeat an id are scored each. Labels that disagree for an id count as toxic if any does. Without documents of both
+classes every score is 0. An empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -27,10 +32,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, table, text_of
 
-WINDOW, DICT = 64, 49_152
-PIECE = 6
-#: Bytes of toxic content at most.
-TOXIC_DICT = 1536
+WINDOW, DICT, TOXIC_DICT = 64, 16_384, 4_096
+#: Lengths of the byte n-grams that find toxic stretches, bits of their hash tables, documents apart that score each other.
+SIZES, BITS, FOLDS = (5, 8), 23, 3
+#: An n-gram is toxic if its documents deviate from the classes' shares by so many nats of likelihood and so many times.
+SURE, RATIO = 12.0, 8.0
 #: Quantiles of ordinary windows' differences above which a window counts.
 LEVELS = (0.9, 0.97, 0.99, 0.999)
 KEEP = 0.7
@@ -58,12 +64,22 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, np.stack([start, stop - start], 1), np.searchsorted(ends, start, side="right")
 
 
+def _chunks(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about ``size`` characters, so that arrays over their bytes stay small."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size or i == len(texts) - 1:
+            yield texts[start : i + 1]
+            start, total = i + 1, 0
+
+
 class Lengths:
     """Compressed lengths of windows with one dictionary."""
 
     def __init__(self, content: bytes):
-        p = zstandard.ZstdCompressionParameters(compression_level=19, window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=3, target_length=32, strategy=zstandard.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False)
-        d = zstandard.ZstdCompressionDict(content)
+        p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=p)
         self.c = zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
@@ -75,73 +91,84 @@ class Lengths:
         return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
 
 
-def _trained(samples: list[bytes]) -> bytes:
+def trained(samples: list[bytes], size: int) -> bytes:
     """A dictionary trained on the samples; their bytes where there are too few to train on."""
+    total = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(DICT, samples, k=64, d=6).as_bytes()
+        return zstandard.train_dictionary(max(256, min(size, total // 4)), samples, k=64, d=6).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(samples)[-DICT:]
-
-
-def _keys(buf: np.ndarray, d: int) -> np.ndarray:
-    """The d <= 8 bytes from each place on, as one number."""
-    b = buf.astype(np.uint64)
-    return sum(b[j : len(b) - d + 1 + j] << np.uint64(8 * j) for j in range(d))
-
-
-def _contexts(buf: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """d-mers and in how many different surroundings each stands: copies of a passage count once."""
-    side = 6
-    here, around = _keys(buf, d)[side : len(buf) - d + 1 - side], _keys(buf, side)
-    counts = []
-    for other in (around[: len(here)], around[side + d : side + d + len(here)]):
-        mixed = here * np.uint64(0x9E3779B97F4A7C15) ^ (other * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
-        first = np.unique(mixed, return_index=True)[1]
-        counts.append(np.unique(here[first], return_counts=True))
-    return counts[0][0], np.minimum(counts[0][1], counts[1][1])
-
-
-def contrast(texts: list[str], toxic: np.ndarray, sizes: tuple[int, ...] = (5, 7), ratio: float = 20.0, least: int = 6) -> bytes:
-    """The toxic dictionary's content: stretches of d-mers that stand in many more surroundings in toxic than in ordinary text.
-
-    A trainer that takes the frequent d-mers would fill the dictionary with what all texts share.
-    """
-    join = lambda of: np.frombuffer((" " * 8).join(["", *dict.fromkeys(t.lower().replace("\n", " ") for t, x in zip(texts, toxic, strict=True) if x == of), ""]).encode(), np.uint8)
-    bad, fine = join(True), join(False)
-    covered = np.zeros(len(bad), bool)
-    for d in sizes:
-        if min(len(bad), len(fine)) < d + 16:
-            continue
-        (k, t), (ko, o) = _contexts(bad, d), _contexts(fine, d)
-        at = np.minimum(np.searchsorted(ko, k), len(ko) - 1)
-        o = np.where(ko[at] == k, o[at], 0)
-        strong = k[(t >= least) & (t / len(bad) >= ratio * (o + 1) / len(fine))]
-        if len(strong):
-            every = _keys(bad, d)
-            at = np.minimum(np.searchsorted(strong, every), len(strong) - 1)
-            for j in np.flatnonzero(strong[at] == every).tolist():
-                covered[j : j + d] = True
-    # the most frequent stretches last: the nearest are the cheapest to point at
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
-    raw, found = bad.tobytes(), {}
-    for a, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        found[raw[a:e]] = found.get(raw[a:e], 0) + 1
-    out: list[bytes] = []
-    size = 0
-    for run, n in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if n >= 2 and size + len(run) <= TOXIC_DICT and not any(run in x for x in out):
-            out.append(run)
-            size += len(run)
-    return b"".join(reversed(out))
-
-
-def _slots(buf: np.ndarray) -> np.ndarray:
-    """A 20-bit hash of the PIECE bytes from each place on."""
-    out = np.zeros(max(0, len(buf) - PIECE + 1), np.uint32)
-    for j in range(PIECE):
-        out *= np.uint32(0x01000193)
-        out += buf[j : len(buf) - PIECE + 1 + j]
-    return (out * np.uint32(0x9E3779B1)) >> np.uint32(12)
+        return b" ".join(samples)[-size:]
+
+
+def _hashes(raw: bytes, d: int) -> np.ndarray:
+    """Of the d bytes from each place on."""
+    buf = np.frombuffer(raw, np.uint8)
+    if len(buf) < d:
+        return np.empty(0, np.uint64)
+    h = np.zeros(len(buf) - d + 1, np.uint64)
+    for j in range(d):
+        h *= np.uint64(0x100000001B3)
+        h += buf[j : len(buf) - d + 1 + j]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _cells(raw: bytes, d: int) -> np.ndarray:
+    return (_hashes(raw, d) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _sketch(raw: bytes) -> tuple[int, int]:
+    """What near copies have in common: the smallest and the largest hash of 24 bytes."""
+    h = _hashes(raw, min(24, max(1, len(raw))))
+    return (int(h.min()), int(h.max())) if len(h) else (0, 0)
+
+
+def toxic_cells(counts: list[np.ndarray], docs: np.ndarray) -> np.ndarray:
+    """counts: by class, in how many documents each cell's n-grams stand; docs: documents by class. Which cells are toxic."""
+    out, share, step = np.zeros(1 << BITS, bool), docs[1] / docs.sum(), 1 << 18
+    for a in range(0, 1 << BITS, step):
+        o, t = (c[a : a + step].astype(np.float64) for c in counts)
+        n = o + t
+        p = t / np.maximum(n, 1)
+        surprise = n * (p * np.log(np.maximum(p, 1e-12) / share) + (1 - p) * np.log(np.maximum(1 - p, 1e-12) / (1 - share)))
+        out[a : a + step] = (surprise >= SURE) & (t / docs[1] >= RATIO * (o + 0.5) / docs[0])
+    return out
+
+
+def stretches(raw: bytes, strong: dict[int, np.ndarray]) -> list[bytes]:
+    """The stretches of a text that are covered by toxic n-grams."""
+    edge = np.zeros(len(raw) + 1, np.int32)
+    for d, cells in strong.items():
+        at = np.flatnonzero(cells[_cells(raw, d)])
+        edge[at] += 1
+        edge[at + d] -= 1
+    inside = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).view(np.int8), [0]])
+    cut = np.flatnonzero(np.diff(inside))
+    return [raw[a:e] for a, e in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True)]
+
+
+def toxic_dictionaries(raws: list[bytes], toxic: np.ndarray, fold: np.ndarray) -> list[bytes]:
+    """One trained on all toxic documents, then one for each fold, trained on those of the other folds."""
+    docs = np.array([[np.sum((fold == f) & (toxic == c)) for c in (False, True)] for f in range(FOLDS)])
+    strong: list[dict[int, np.ndarray]] = [{} for _ in range(FOLDS + 1)]
+    for d in SIZES:
+        counts = np.zeros((FOLDS, 2, 1 << BITS), np.uint16)
+        for raw, c, f in zip(raws, toxic, fold, strict=True):
+            counts[f, int(c), np.unique(_cells(raw, d))] += 1
+        for f in range(-1, FOLDS):
+            used = [g for g in range(FOLDS) if g != f]
+            n = docs[used].sum(0)
+            strong[f + 1][d] = toxic_cells([counts[used, c].sum(0, dtype=np.uint16) for c in (0, 1)], n) if n.all() else np.zeros(1 << BITS, bool)
+        del counts
+    out = []
+    for f in range(-1, FOLDS):
+        found = [stretches(raw, strong[f + 1]) for raw, c, g in zip(raws, toxic, fold, strict=True) if c and g != f]
+        often = Counter(x for each in found for x in set(each))
+        # the stretches that two documents have at least, document by document
+        samples = [b" ".join(x for x in each if often[x] > 1) for each in found]
+        out.append(trained(samples, TOXIC_DICT) if (samples := [x for x in samples if len(x) >= 8]) else b"")
+    return out
 
 
 class Model:
@@ -152,18 +179,12 @@ class Model:
         return {**self.__dict__, "_c": None}
 
     def gains(self, buf: np.ndarray, spans: np.ndarray) -> np.ndarray:
-        """By window: how much shorter the toxic dictionary makes it. 0 where a window has no piece of PIECE bytes in common with the toxic content, without compressing it."""
-        out = np.zeros(len(spans), np.int64)
-        if not len(self.toxic) or len(buf) < PIECE:
-            return out
+        """By window: how much shorter the toxic dictionary makes it."""
+        if not self.toxic:
+            return np.zeros(len(spans), np.int64)
         if self._c is None:
-            self._c = Lengths(self.ordinary), Lengths(self.ordinary + self.toxic), np.unique(_slots(np.frombuffer(self.toxic, np.uint8)))
-        known = np.zeros(1 << 20, bool)
-        known[self._c[2]] = True
-        at = np.flatnonzero(known[_slots(buf)])
-        some = np.unique(np.searchsorted(spans[:, 0], at, side="right") - 1)
-        out[some] = self._c[0](buf, spans[some]) - self._c[1](buf, spans[some])
-        return out
+            self._c = Lengths(self.ordinary), Lengths(self.toxic + self.ordinary)
+        return self._c[0](buf, spans) - self._c[1](buf, spans)
 
     def features(self, texts: list[str]) -> np.ndarray:
         buf, spans, of = windows(texts)
@@ -194,35 +215,59 @@ def fit(texts: list[str], toxic: np.ndarray, odds: float = 1.0) -> Model | None:
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
         return None
-    buf, spans, of = windows(texts)
-    raw = buf.tobytes()
-    plain = np.flatnonzero(~toxic[of])
-    np.random.default_rng(7).shuffle(plain)
-    # one part of the ordinary windows trains, the other sets the thresholds
-    half = len(plain) // 2
-    ordinary = _trained([raw[a : a + n] for a, n in spans[plain[: min(half, 60_000)]].tolist()])
-    model = Model(ordinary, contrast(texts, toxic), (), np.zeros(0))
-    base = model.gains(buf, spans[plain[half:]])
-    model.limits = tuple(sorted({float(max(0, np.quantile(base, q))) for q in LEVELS}))
-    x = model.features(texts)
-    model.weights = _logistic(x, toxic.astype(float), np.where(toxic, 1.0, odds * toxic.sum() / (~toxic).sum()))
+    raws = [t.lower().encode() for t in texts]
+    sketches = [_sketch(r) for r in raws]
+    # near copies are in one fold, and only the first of them teaches
+    fold = np.array([(a ^ b) % FOLDS for a, b in sketches])
+    first = list(dict(zip(reversed(sketches), range(len(raws) - 1, -1, -1), strict=True)).values())
+    pieces: list[bytes] = []
+    for part in _chunks([texts[i] for i in first if not toxic[i]]):
+        buf, spans, _ = windows(part)
+        raw = buf.tobytes()
+        pieces += [raw[a : a + n] for a, n in spans[::4].tolist()]
+    ordinary = trained(pieces, DICT)
+    del pieces
+    dictionaries = toxic_dictionaries([raws[i] for i in first], toxic[first], fold[first])
+    del raws
+    folds = [Model(ordinary, d, (), np.zeros(0)) for d in dictionaries[1:]]
+    base = []
+    for f, m in enumerate(folds):
+        for part in _chunks([texts[i] for i in first if fold[i] == f and not toxic[i]]):
+            buf, spans, _ = windows(part)
+            base.append(m.gains(buf, spans).astype(np.int16))
+    base = np.concatenate(base or [np.zeros(1)])
+    limits = tuple(sorted({float(max(0, np.quantile(base, q))) for q in LEVELS}))
+    model = Model(ordinary, dictionaries[0], limits, np.zeros(0))
+    x, y = [], []
+    for f, m in enumerate(folds):
+        m.limits, at = limits, np.flatnonzero(fold == f)
+        x += [m.features(part) for part in _chunks([texts[i] for i in at])]
+        y.append(toxic[at])
+    y = np.concatenate(y)
+    model.weights = _logistic(np.concatenate(x), y.astype(float), np.where(y, 1.0, odds * y.sum() / (~y).sum()))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, ordinary_docs: int = 3000, train_chars: int = 4000) -> Model | None:
-    """At most so many documents of each class, those with the smallest hashes, and of each at most train_chars characters."""
-    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = {bool(r["t"]): r["count"] for r in marks.groupBy((F.col("toxic") > 0).alias("t")).count().collect()}
-    # the ids are chosen without the texts; only the texts of the chosen ids, a bounded number, are read after that
+def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, ordinary_docs: int = 3000) -> Model | None:
+    """From at most so many labelled documents of each class, those with the smallest hashes. Only labels of ``docs`` are counted."""
+    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     hash_ = F.xxhash64(F.lit(5), "doc_id").alias("h")
-    ids = docs.select("doc_id").join(marks, "doc_id").select("doc_id", (F.col("toxic") > 0).alias("toxic"), hash_)
-    limits = ((False, ordinary_docs), (True, toxic_docs))
-    chosen = [ids.where(F.col("toxic") == c).orderBy("h").limit(n).select("doc_id").distinct() for c, n in limits]
-    rows = [docs.join(F.broadcast(x), "doc_id", "left_semi").select(F.lit(c).alias("toxic"), F.substring("text", 1, train_chars).alias("text"), hash_) for x, (c, _) in zip(chosen, limits, strict=True)]
-    parts = [r.orderBy("h", "text").limit(n) for r, (_, n) in zip(rows, limits, strict=True)]
-    got = parts[0].union(parts[1]).toArrow()
-    texts, toxic = [t or "" for t in got.column("text").to_pylist()], np.array(got.column("toxic").to_pylist(), bool)
-    return fit(texts, toxic, share.get(False, 1) / max(1, share.get(True, 1)))
+    # the ids are chosen without the texts; only the texts of the chosen ids, a bounded number, are read after that
+    ids = docs.select("doc_id").join(marks, "doc_id").select("doc_id", "toxic", hash_)
+    share = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
+    if len(share) < 2:
+        return None
+    parts = []
+    for of, n in ((False, ordinary_docs), (True, toxic_docs)):
+        chosen = [r["doc_id"] for r in ids.where(F.col("toxic") == of).orderBy("h").limit(n).select("doc_id").distinct().collect()]
+        rows = docs.where(F.col("doc_id").isin(chosen)).select(F.lit(of).alias("toxic"), "text", hash_)
+        parts.append(rows.orderBy("h", "text").limit(n))
+    texts, toxic = [], []
+    for part in parts:
+        for r in part.toLocalIterator():
+            texts.append(r["text"] or "")
+            toxic.append(r["toxic"])
+    return fit(texts, np.array(toxic, bool), share[False] / share[True])
 
 
 def toxicity(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="text") -> DataFrame:
@@ -236,15 +281,15 @@ def toxicity(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="te
 
     def run(batches):
         for b in batches:
-            texts, step = b.column("text").to_pylist(), 256
-            got = [shared.value.scores(texts[i : i + step]) for i in range(0, len(texts), step)]
+            got = [shared.value.scores(part) for part in _chunks(b.column("text").to_pylist())]
             yield pa.record_batch([b.column("doc_id"), pa.array(np.concatenate([np.empty(0), *got]))], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    """Rows that are not learnt from; a null id is learnt from like others, but has no label."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def op1(spark, sf_dir):
