@@ -32,4 +32,6 @@ def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"links between documents did not converge in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -12,7 +12,8 @@ one class, whose smallest id stands for it. Pairs of classes with Jaccard simila
 3. The columns are dealt out in blocks. Within a column, pairs are discarded whose sizes differ
    too much, or whose remaining columns can't reach the overlap any more; and so are single
    entries that no partner of their column could make a pair with.
-4. The remaining pairs' full rows are intersected, and pairs below the bound discarded.
+4. Of the remaining pairs a bitmap of each row, about a bit for each n-gram, bounds the overlap from above;
+   the full rows of those that pass are intersected, and pairs below the bound discarded.
 
 A column (of near copies of one text, say) isn't expanded into all pairs at once: as components
 are what is asked for, its documents are first compared with the column's leader, the one with the
@@ -22,8 +23,9 @@ pair is verified twice. Further leaders come from those outside the first one's
 compared, so no link between components is lost whatever the leaders were.
 
 Texts without words have an empty row and no links; texts of fewer than ``words`` words have one
-n-gram, all of them. Null text is empty. Rows that share an id are one node. Rows without an id
-have no links and no component.
+n-gram, all of them. Null text is empty. Rows that share an id are one node and have one component.
+Rows without an id have their number of n-grams, no links and a null component. Texts may have any
+length; an empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -41,8 +43,12 @@ from tessera.llm.components import components
 
 WIDTH, PARTS = 1 << 20, 64
 U = np.uint64
-#: Ids up to which the set of documents to verify may be broadcast; beyond it they are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Links between ids, 16 bytes each, that may be broadcast; beyond it they are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
+#: Bits of the filter that keeps most documents without a candidate pair out of the shuffle, whatever the input's size.
+FILTER = 1 << 23
+#: Rows of a column that are held at once; a larger column passes through in parts that share its leader.
+HELD = 1 << 19
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -63,7 +69,7 @@ def rows(texts: list[str], words: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     start, size = 0, 0
     for i in range(len(data) + 1):
-        if i == len(data) or size > 1_000_000:
+        if i == len(data) or size > 400_000:
             out += _rows(data[start:i], words)
             start, size = i, 0
         if i < len(data):
@@ -115,10 +121,11 @@ def _cells(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(batches, words: int):
+    step = 256
     for b in batches:
-        texts, step = b.column("text").to_pylist(), 1024
-        for i in range(0, len(texts), step):
-            yield b.column("doc_id").slice(i, step), rows(texts[i : i + step], words)
+        for i in range(0, len(b), step):
+            part = b.slice(i, step)
+            yield part.column("doc_id"), rows(part.column("text").to_pylist(), words)
 
 
 def _packed(s: np.ndarray) -> bytes:
@@ -133,6 +140,25 @@ def _unpacked(b) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _bits(s: np.ndarray) -> bytes:
+    """A bitmap of a power of two bits, at least one for each n-gram; an n-gram sets the bit of its lowest digits."""
+    b = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    out = np.zeros(b, bool)
+    out[(s >> U(16)).astype(np.int64) & (b - 1)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """How many n-grams at least are in one row only. The longer bitmap is folded to the length of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+    while size > 8 * len(y):
+        size //= 2
+        a = (a >> size) | (a & ((1 << size) - 1))
+    return (a ^ b).bit_count()
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n, digest for each document; and for each task the segments of its sketch (part, counts)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -143,7 +169,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             id_type = ids.type
             if every := [s for s in sets if len(s)]:
                 for d, c in enumerate(_cells(np.concatenate(every))):
-                    sketch[d] += np.bincount(c, minlength=WIDTH).astype(np.uint32)
+                    np.add.at(sketch[d], c, 1)
             k = len(ids)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "n", "digest", "part", "counts"])
@@ -178,7 +204,7 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
-    """doc_id, n and the prefix of its row, rare n-grams first, as bytes."""
+    """doc_id, n and the prefix of its row, rare n-grams first."""
 
     def run(batches):
         sketch = shared.value
@@ -187,42 +213,37 @@ def prefixes(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
             for s in sets:
                 a, b = _cells(s)
                 order = np.lexsort((s, np.minimum(sketch[0][a], sketch[1][b])))
-                out.append(s[order[: _prefix(len(s), percent)]].tobytes() if len(s) else b"")
-            yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "prefix"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, prefix binary")
+                out.append(s[order[: _prefix(len(s), percent)]] if len(s) else s)
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.empty(0, np.uint64), *out]).view(np.int64))
+            yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "n", "prefix"])
 
+    return docs.mapInArrow(run, "doc_id long, n int, prefix array<long>")
 
-def columns(prefix: DataFrame) -> DataFrame:
-    """The prefixes' matrix entries: gram, doc_id, n, place."""
-
-    def run(batches):
-        for b in batches:
-            grams = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
-            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-            if not sizes.sum():
-                continue
-            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.record_batch([pa.array(np.concatenate(grams)), pa.array(np.repeat(b.column("doc_id").to_numpy(), sizes)), pa.array(np.repeat(b.column("n").to_numpy(), sizes).astype(np.int32)), pa.array(place.astype(np.int32))], ["gram", "doc_id", "n", "place"])
 
-    return prefix.mapInArrow(run, "gram long, doc_id long, n int, place int")
-
-
-def _runs(batches, names):
-    """Whole runs of equal grams, as arrays, from batches sorted by gram."""
-    held: list[tuple] = []
+def _runs(batches, names, most: int = HELD):
+    """Runs of equal grams, as arrays, from batches sorted by gram; and whether the last run may go on in the next ones."""
+    held: list[list[np.ndarray]] = []
+    count = 0
     for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if held:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        if not len(cols[0]):
+        if not len(b):
             continue
-        cut = np.searchsorted(cols[0], cols[0][-1]) if cols[0][0] != cols[0][-1] else 0
+        held.append([b.column(c).to_numpy(zero_copy_only=False) for c in names])
+        count += len(b)
+        if held[0][0][0] == held[-1][0][-1] and count < most:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
         if cut:
-            yield [c[:cut] for c in cols]
-        held = [c[cut:] for c in cols]
-    if held and len(held[0]):
-        yield held
+            yield [c[:cut] for c in cols], False
+        cols = [c[cut:] for c in cols]
+        if len(cols[0]) >= most:
+            yield cols, True
+            held, count = [], 0
+        else:
+            held, count = [cols], len(cols[0])
+    if count:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)], False
 
 
 def shared_columns(entries: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -230,19 +251,31 @@ def shared_columns(entries: DataFrame, percent: int, parts: int) -> DataFrame:
 
     Of a pair the smaller document (or both, of equal sizes) needs 2 * percent * n / (100 + percent)
     of its n-grams from its place on; an entry with fewer needs a smaller partner that has them. The
-    leader is the document with the fewest rarer n-grams, the one most like the rest.
+    leader is the document with the fewest rarer n-grams, the one most like the rest. Entries come by
+    rising n, so in a column that doesn't fit at once what was seen tells the least n.
     """
     names = ["gram", "doc_id", "n", "place"]
 
     def run(batches):
-        for cols in _runs(batches, names):
+        before = None  # of a column that goes on: gram, least n, leader
+        for cols, goes_on in _runs(batches, names):
             gram, doc, n, place = (c.astype(np.int64) for c in cols)
             start = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1])
-            col = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(gram)]])))
+            size = np.diff(np.concatenate([start, [len(gram)]]))
             smaller = n - place >= -(-2 * percent * n // (100 + percent))
-            least = np.minimum.reduceat(np.where(smaller, n, 1 << 40), start)[col]
+            least = np.minimum.reduceat(np.where(smaller, n, 1 << 40), start)
+            carried = before if before and before[0] == gram[0] else None
+            if carried:
+                least[0] = min(least[0], carried[1])
+            open_least = int(least[-1])
+            least = np.repeat(least, size)
             keep = smaller | ((least <= n) & (n - place >= -(-percent * (n + least) // (100 + percent))))
-            keep &= (np.add.reduceat(keep.astype(np.int64), start) > 1)[col]
+            several = np.add.reduceat(keep.astype(np.int64), start) > 1
+            if carried or goes_on:
+                several[0 if carried else -1] = True
+                several[-1] |= goes_on
+            keep &= np.repeat(several, size)
+            before = (int(gram[-1]), open_least, carried[2] if carried and len(start) == 1 else None) if goes_on else None
             if not keep.any():
                 continue
             gram, doc, n, place = (x[keep] for x in (gram, doc, n, place))
@@ -251,10 +284,16 @@ def shared_columns(entries: DataFrame, percent: int, parts: int) -> DataFrame:
             start = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1])
             size = np.diff(np.concatenate([start, [len(gram)]]))
             out = [gram, doc, n.astype(np.int32), place.astype(np.int32)]
-            out += [np.repeat(x[start], size) for x in out[1:]]
+            lead = [x[start] for x in out[1:]]
+            if carried and carried[2] and gram[0] == carried[0]:
+                for x, v in zip(lead, carried[2], strict=True):
+                    x[0] = v
+            if before and gram[-1] == before[0]:
+                before = (*before[:2], tuple(int(x[-1]) for x in lead))
+            out += [np.repeat(x, size) for x in lead]
             yield pa.record_batch([pa.array(x) for x in out], [*names, "lead", "lead_n", "lead_place"])
 
-    return entries.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, doc_id long, n int, place int, lead long, lead_n int, lead_place int")
+    return entries.repartition(parts, "gram").sortWithinPartitions("gram", "n").mapInArrow(run, "gram long, doc_id long, n int, place int, lead long, lead_n int, lead_place int")
 
 
 def _possible(n1, p1, n2, p2, percent: int):
@@ -280,7 +319,7 @@ def rest_pairs(entries: DataFrame, roots: DataFrame, percent: int, turn: int | N
     Documents of the leader's component needn't be compared with each other, so each pair has one
     outside it. With a ``turn``, of those outside only one by column, another leader, is compared.
     """
-    near = F.broadcast(roots) if roots.count() <= BROADCAST_IDS else roots
+    near = F.broadcast(roots) if 16 * roots.count() <= BROADCAST_BYTES else roots
     own, head = (near.select(F.col("node").alias(f"node{i}"), F.col("root").alias(f"root{i}")) for i in (0, 1))
     named = entries.join(own, F.col("doc_id") == F.col("node0"), "left").join(head, F.col("lead") == F.col("node1"), "left").select(
         "gram", "doc_id", "n", "place", F.coalesce("root0", "doc_id").alias("comp"), F.coalesce("root1", "lead").alias("lead_comp")
@@ -294,25 +333,50 @@ def rest_pairs(entries: DataFrame, roots: DataFrame, percent: int, turn: int | N
     return _pairs(met, "doc_id", "o.doc_id")
 
 
+def _checked(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
+    """The pairs (a, b) whose documents' values of a column of ``sets`` pass the test(n of a, n of b, value of a, value of b)."""
+    left, right = (sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"set_{x}")) for x in "ab")
+
+    def run(batches):
+        for b in batches:
+            values = zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), b.column("set_a"), b.column("set_b"), strict=True)
+            keep = [test(n, m, x.as_buffer(), y.as_buffer()) for n, m, x, y in values]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
+
+def possible_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps allow the similarity."""
+
+    def test(n: int, m: int, x, y) -> bool:
+        return n + m - _differ(bytes(x), bytes(y)) >= 2 * -(-percent * (n + m) // (100 + percent))
+
+    return _checked(pairs, sets, "bits", test)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full rows reach the similarity."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+    def test(n: int, m: int, x, y) -> bool:
+        both = np.concatenate([_unpacked(x), _unpacked(y)])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= percent * (len(both) - common)
+
     # only the rows of documents in pairs travel
-    sets = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"set_{x}")) for x in "ab")
+    return _checked(pairs, sets.join(ids, "doc_id", "left_semi"), "grams", test)
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                u, v = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
-                both = np.concatenate([u, v])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter (one hash) of fixed size, as bytes by place."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    words = ids.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(FILTER // 64, np.int64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 4, percent: int = 85, star_rounds: int = 2, scratch: Scratch | None = None) -> DataFrame:
@@ -334,18 +398,22 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words:
     same_id = classes.join(again, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
 
     shared = spark.sparkContext.broadcast(sketch_of(seen))
-    prefix = prefixes(docs, words, percent, shared).where("length(prefix) > 0").join(reps, "doc_id", "left_semi")
-    entries = scratch.keep(shared_columns(columns(prefix), percent, parts))
+    prefix = prefixes(docs, words, percent, shared).where("n > 0").join(reps, "doc_id", "left_semi")
+    entries = prefix.select("doc_id", "n", F.posexplode("prefix").alias("place", "gram")).select("gram", "doc_id", "n", "place")
+    entries = scratch.keep(shared_columns(entries, percent, parts))
 
-    wanted = entries.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    # the rows of documents that have an entry; the filter lets few others pass, and those do no harm
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    held = spark.sparkContext.broadcast(_filter_of(entries.select("doc_id").distinct()))
 
     def full(batches):
-        for ids, sets in _texts(batches, words):
-            yield pa.record_batch([ids, pa.array([_packed(s) for s in sets], pa.binary())], ["doc_id", "grams"])
+        for b in batches:
+            some = b.filter(pa.array((held.value[b.column("w").to_numpy()] >> b.column("bit").to_numpy()) & 1 == 1))
+            for ids, sets in _texts([some], words):
+                yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_bits(s) for s in sets], pa.binary()), pa.array([_packed(s) for s in sets], pa.binary())], ["doc_id", "n", "bits", "grams"])
 
-    sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(full, "doc_id long, grams binary"))
+    marked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.shiftright(place, 6).alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("bit"))
+    sets = scratch.keep(marked.mapInArrow(full, "doc_id long, n long, bits binary, grams binary"))
 
     links, roots, tested = scratch.keep(same_id), None, None
     for turn in range(star_rounds + 1):
@@ -355,13 +423,15 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words:
             pairs = rest_pairs(entries, roots, percent, turn if turn < star_rounds else None)
         pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
-        found = scratch.keep(verified(pairs, sets, percent))
+        likely = scratch.keep(possible_pairs(pairs, sets, percent))
+        found = scratch.keep(verified(likely, sets, percent))
         if turn and found.isEmpty():
             continue
         links = links.select("a", "b").union(found) if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
         roots = components(links, scratch)
     out = classes.join(roots, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op8(spark, sf_dir):
