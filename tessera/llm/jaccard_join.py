@@ -45,8 +45,8 @@ WIDTH, PARTS = 1 << 20, 64
 U = np.uint64
 #: Links between ids, 16 bytes each, that may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
-#: Bits of the filter that keeps most documents without a candidate pair out of the shuffle, whatever the input's size.
-FILTER = 1 << 23
+#: Bits of the filters of ids, whatever the input's size. They let all wanted documents pass, and few others while the ids are fewer than the bits.
+FILTER = 1 << 25
 #: Rows of a column that are held at once; a larger column passes through in parts that share its leader.
 HELD = 1 << 19
 
@@ -203,12 +203,32 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefixes(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
-    """doc_id, n and the prefix of its row, rare n-grams first."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the id's place in a filter: a word (w) and a bit in it."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.shiftright(place, 6).alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("bit"))
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter (one hash) of the column doc_id, of fixed size."""
+    words = _marked(ids.withColumn("text", F.lit(""))).select("w", F.expr("shiftleft(1L, cast(bit as int))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(FILTER // 64, np.int64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    return out
+
+
+def _passing(batches, filter_: np.ndarray):
+    for b in batches:
+        yield b.filter(pa.array((filter_[b.column("w").to_numpy()] >> b.column("bit").to_numpy()) & 1 == 1))
+
+
+def prefixes(docs: DataFrame, words: int, percent: int, shared, wanted) -> DataFrame:
+    """doc_id, n and the prefix of its row, rare n-grams first, of the documents that pass the filter ``wanted``."""
 
     def run(batches):
         sketch = shared.value
-        for ids, sets in _texts(batches, words):
+        for ids, sets in _texts(_passing(batches, wanted.value), words):
             out = []
             for s in sets:
                 a, b = _cells(s)
@@ -218,7 +238,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, shared) -> DataFrame:
             flat = pa.array(np.concatenate([np.empty(0, np.uint64), *out]).view(np.int64))
             yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "n", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, prefix array<long>")
+    return _marked(docs).mapInArrow(run, "doc_id long, n int, prefix array<long>")
 
 
 def _runs(batches, names, most: int = HELD):
@@ -369,16 +389,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _checked(pairs, sets.join(ids, "doc_id", "left_semi"), "grams", test)
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter (one hash) of fixed size, as bytes by place."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    words = ids.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(FILTER // 64, np.int64)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    return out
-
-
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 4, percent: int = 85, star_rounds: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -393,27 +403,24 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words:
     by_shard = each.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "shard").agg(F.min("doc_id").alias("least"))
     class_of = by_shard.join(by_shard.groupBy("digest").agg(F.min("least").alias("rep")), "digest").select("digest", "shard", "rep")
     classes = scratch.keep(each.join(class_of, ["digest", "shard"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = classes.where("n > 0 AND rep = doc_id").select("doc_id").distinct()
+    reps = classes.where("n > 0 AND rep = doc_id").select("doc_id")
     again = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1 AND doc_id IS NOT NULL").select("doc_id", "a")
     same_id = classes.join(again, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
 
     shared = spark.sparkContext.broadcast(sketch_of(seen))
-    prefix = prefixes(docs, words, percent, shared).where("n > 0").join(reps, "doc_id", "left_semi")
+    # one document for each class; the few copies that the filter lets pass do no harm
+    one = spark.sparkContext.broadcast(_filter_of(reps))
+    prefix = prefixes(docs, words, percent, shared, one).where("n > 0")
     entries = prefix.select("doc_id", "n", F.posexplode("prefix").alias("place", "gram")).select("gram", "doc_id", "n", "place")
     entries = scratch.keep(shared_columns(entries, percent, parts))
 
-    # the rows of documents that have an entry; the filter lets few others pass, and those do no harm
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    held = spark.sparkContext.broadcast(_filter_of(entries.select("doc_id").distinct()))
+    held = spark.sparkContext.broadcast(_filter_of(entries.select("doc_id")))
 
     def full(batches):
-        for b in batches:
-            some = b.filter(pa.array((held.value[b.column("w").to_numpy()] >> b.column("bit").to_numpy()) & 1 == 1))
-            for ids, sets in _texts([some], words):
-                yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_bits(s) for s in sets], pa.binary()), pa.array([_packed(s) for s in sets], pa.binary())], ["doc_id", "n", "bits", "grams"])
+        for ids, sets in _texts(_passing(batches, held.value), words):
+            yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_bits(s) for s in sets], pa.binary()), pa.array([_packed(s) for s in sets], pa.binary())], ["doc_id", "n", "bits", "grams"])
 
-    marked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.shiftright(place, 6).alias("w"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("bit"))
-    sets = scratch.keep(marked.mapInArrow(full, "doc_id long, n long, bits binary, grams binary"))
+    sets = scratch.keep(_marked(docs).mapInArrow(full, "doc_id long, n long, bits binary, grams binary"))
 
     links, roots, tested = scratch.keep(same_id), None, None
     for turn in range(star_rounds + 1):
