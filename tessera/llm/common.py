@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Java regex classes of the contracts' white space and words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS_A_FILE = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +25,28 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have yet."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 class Scratch:
     """Tables written once in the shared folder, so that a lost executor costs no recomputation.
 
@@ -45,8 +60,11 @@ class Scratch:
         self.count = 0
         atexit.register(self.drop)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """rows: about how many there are at most, of a narrow table; it gets as few files as suit them."""
         self.count += 1
+        if rows is not None:
+            df = df.repartition(max(1, -(-rows // ROWS_A_FILE)))
         at = f"{self.path}/{self.count}"
         df.write.option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)

@@ -22,12 +22,12 @@ def _star(links: DataFrame) -> DataFrame:
     return small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """(a, b) links to (node, root): one row for each node that isn't its component's smallest."""
-    now = scratch.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+def components(links: DataFrame, scratch: Scratch, rows: int, rounds: int = 60) -> DataFrame:
+    """(a, b) links, about ``rows`` of them at most, to (node, root): one row for each node that isn't its component's smallest."""
+    now = scratch.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), rows)
     before = None
     for _ in range(rounds):
-        now = scratch.keep(_star(now))
+        now = scratch.keep(_star(now), rows if before is None else before[0])
         state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
         if state == before:
             break

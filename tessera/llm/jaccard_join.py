@@ -422,20 +422,21 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words:
 
     sets = scratch.keep(_marked(docs).mapInArrow(full, "doc_id long, n long, bits binary, grams binary"))
 
-    links, roots, tested = scratch.keep(same_id), None, None
+    rows = entries.count()
+    links, roots, tested = same_id, None, None
     for turn in range(star_rounds + 1):
         if turn == 0:
             pairs = leader_pairs(entries, percent)
         else:
             pairs = rest_pairs(entries, roots, percent, turn if turn < star_rounds else None)
-        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), rows)
         tested = pairs if tested is None else tested.union(pairs)
-        likely = scratch.keep(possible_pairs(pairs, sets, percent))
-        found = scratch.keep(verified(likely, sets, percent))
+        likely = scratch.keep(possible_pairs(pairs, sets, percent), rows)
+        found = scratch.keep(verified(likely, sets, percent), rows)
         if turn and found.isEmpty():
             continue
         links = links.select("a", "b").union(found) if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
-        roots = components(links, scratch)
+        roots = components(links, scratch, rows)
     out = classes.join(roots, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
