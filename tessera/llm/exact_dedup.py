@@ -1,22 +1,24 @@
 """Exact duplicates by a tree merge of sorted digest runs. Native: DataFrame functions only.
 
-Each document goes to one of ``runs`` shards by a hash of its id. A shard's run holds one row
-per digest: the smallest id and the number of documents. In each round ``fan_in`` neighbouring
-runs become one: they are exchanged by (merged run, digest), sorted, and rows of equal digest
-become one row that keeps the smallest id. A row's key is the SHA-256 digest together with the
-length and a second, independent hash of the text, so an id is only kept for texts that agree
-in all three. After the last round one run is left, spread over the cluster by digest. The
-result returns along the runs: a digest held by a third of all documents meets them shard by
-shard, not in one task.
+Each document goes to one of ``runs`` shards by a hash of its id. A shard's run is sorted by digest and holds one
+row per digest: the smallest id and the number of documents. In each round ``fan_in`` neighbouring runs become one,
+so after log(runs) / log(fan_in) rounds one run is left, spread over the cluster by digest: the runs are exchanged
+by (merged run, digest), sorted, and merged from the sorted rows (a sort aggregate: its buffer is a struct, which
+Spark can't keep in a hash map, so every round reads sorted runs, on both sides of the exchange). Rows of equal
+digest become one that keeps the smallest id. A row's key is the SHA-256 digest together with the length and a
+second, independent hash of the text, so an id is only kept for texts that agree in all three, at every level.
+The result returns along the runs: a digest held by a third of all documents meets them shard by shard, not in
+one task.
 
 Null text is empty text, so null, empty and blank-only texts: the first two are equal, a blank
 one is a single space. Rows that repeat an id and a text count each; one of them stays. A null
-id is larger than any other.
+id is larger than any other. Texts may have any length; an empty table gives an empty result; columns other than
+id and text are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACE, Scratch, text_of
@@ -36,25 +38,26 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
     )
 
 
+def _least(id_: str) -> Column:
+    """The smallest id, null last, as a struct."""
+    return F.min(F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"))).alias("least")
+
+
 def merge_runs(runs: DataFrame, fan_in: int) -> DataFrame:
     """One round: every ``fan_in`` neighbouring runs are merged into one, sorted by digest."""
-    return (
-        runs.withColumn("shard", F.floor(F.col("shard") / fan_in).cast("int"))
-        .groupBy("shard", *KEY)
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        .sortWithinPartitions("shard", "digest")
-    )
+    return runs.withColumn("shard", F.floor(F.col("shard") / fan_in).cast("int")).groupBy("shard", *KEY).agg(F.min("least").alias("least"), F.sum("group_size").alias("group_size"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 256, fan_in: int = 16, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = scratch or Scratch(docs.sparkSession)
     each = scratch.keep(digests(docs, id_col, text_col, runs))
-    first = each.groupBy("shard", *KEY).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    first = each.groupBy("shard", *KEY).agg(_least("doc_id"), F.count(F.lit(1)).alias("group_size"))
     merged, left = first, runs
     while left > 1:
         merged, left = merge_runs(merged, fan_in), -(-left // fan_in)
-    by_run = first.select("shard", *KEY).join(merged.drop("shard"), KEY)
+    merged = merged.select(*KEY, F.col("least.id").alias("keep_id"), "group_size")
+    by_run = first.select("shard", *KEY).join(merged, KEY)
     ids = each.groupBy("shard", *KEY, "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     out = ids.join(by_run, ["shard", *KEY]).select(
         "doc_id", "keep_id", "group_size", F.lower(F.hex("digest")).alias("text_sha256"), F.explode(F.expr("sequence(1L, rows)")).alias("copy")
