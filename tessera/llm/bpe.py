@@ -10,13 +10,17 @@
 
 Only sequences of word numbers travel, not texts; a frequent word is one row per block. Null
 text is empty text and has no ids. Longer texts than ``block_chars`` are a block of their own.
-Rows that repeat an id are encoded each. Special tokens in a text count as such, as the
+Rows that repeat an id are encoded each; an empty table gives an empty result; columns other than id and text are
+not read. A block's name is a digest of its contents, so what is computed again after the loss of an executor meets
+its own parts only; where an input gives other rows when read again, that is an error. Tokenizers of another kind
+are refused. Special tokens in a text count as such, as the
 tokenizers library has it by default.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 import zlib
@@ -106,6 +110,14 @@ class Coder:
         return self._pieces
 
 
+def _refuse_others(spec: str) -> None:
+    """Only byte-level tokenizers with the usual pattern are split right here."""
+    parts = json.loads(spec)
+    pre = parts.get("pre_tokenizer") or {}
+    if parts.get("model", {}).get("type") != "BPE" or parts.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("the tokenizer isn't a byte-level BPE without normalizer and with the usual splitting pattern")
+
+
 def special_pattern(spec: str) -> str:
     from tokenizers import Tokenizer
 
@@ -154,9 +166,7 @@ def blocks(docs: DataFrame, special: str, block_chars: int, buckets: int) -> Dat
     names = docs.columns
 
     def run(batches):
-        from pyspark import TaskContext
-
-        task, number, spec = TaskContext.get().partitionId(), 0, re.compile(special) if special else None
+        spec = re.compile(special) if special else None
         seen: dict[str, int] = {}
         seq: list[np.ndarray] = []
         lens: list[int] = []
@@ -164,7 +174,7 @@ def blocks(docs: DataFrame, special: str, block_chars: int, buckets: int) -> Dat
         chars = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, chars
+            nonlocal chars
             words = list(seen)
             bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % buckets
             order = np.argsort(bucket, kind="stable")
@@ -183,14 +193,19 @@ def blocks(docs: DataFrame, special: str, block_chars: int, buckets: int) -> Dat
             with pa.ipc.new_stream(sink, pa.schema([("id", ids[0].type)])) as w:
                 for i in ids:
                     w.write_batch(pa.record_batch([i], ["id"]))
-            at, n = f"{task}-{number}", len(some)
-            number += 1
+            n = len(some)
             # the sequence holds ranks by frequency (small numbers); the table of ranks leads to word numbers
             head = _planes(np.concatenate([np.array([len(words)], np.uint32), number_of[by_count], rank_of[x]]))
+            # the name says what is in the block: parts of another one never pass for this one's, whatever is computed again
+            sums, docs_ = np.array(lens, "<i8").tobytes(), sink.getvalue().to_pybytes()
+            name = hashlib.blake2b(digest_size=16)
+            for x in (head, sums, docs_, *packed):
+                name.update(len(x).to_bytes(8, "little") + x)
+            at = name.hexdigest()
             out = pa.record_batch(
                 [
                     pa.array([at] * (n + 1), pa.string()), pa.array([-1, *some.tolist()], pa.int32()), pa.array([None, *packed], pa.binary()),
-                    pa.array([head, *[None] * n], pa.binary()), pa.array([np.array(lens, "<i8").tobytes(), *[None] * n], pa.binary()), pa.array([sink.getvalue().to_pybytes(), *[None] * n], pa.binary()),
+                    pa.array([head, *[None] * n], pa.binary()), pa.array([sums, *[None] * n], pa.binary()), pa.array([docs_, *[None] * n], pa.binary()),
                 ],
                 NAMES,
             )
@@ -252,6 +267,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", di
     ship(spark)
     with open(tokenizer, encoding="utf-8") as f:  # a file of the driver, bounded by the vocabulary; workers get its contents
         spec = f.read()
+    _refuse_others(spec)
     key, special = hashlib.sha256(spec.encode()).hexdigest(), special_pattern(spec)
     docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -268,6 +284,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", di
         coder = Coder.of(key, shared.value)
         left = left.filter(pa.compute.equal(left.column("bucket"), -1))
         ids: list[list[int]] = []
+        if not left.num_rows:
+            raise RuntimeError("words of a block that isn't there: the input gave other rows when it was read again; write it first")
+        # blocks that are equal in all, down to the document ids, have equal words: one set of them serves
+        once = dict(zip(right.column("bucket").to_pylist(), range(right.num_rows), strict=True))
+        right = right.take(pa.array(once.values(), pa.int64()))
         for _, pack in sorted(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True)):
             raw = zstandard.ZstdDecompressor().decompress(pack)
             n = int.from_bytes(raw[:4], "little")
@@ -285,6 +306,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", di
             doc_ids += pa.ipc.open_stream(doc).read_all().column("id").chunks
             x, upto = _unplanes(seq), 0
             k = int(x[0])
+            if k != len(ids):
+                raise RuntimeError("a block's words are missing: the input gave other rows when it was read again; write it first")
             x = x[1 : k + 1][x[k + 1 :]]
             for k in np.frombuffer(lens, "<i8").tolist():
                 at = x[upto : upto + k]
