@@ -12,7 +12,8 @@ threshold is the 99.9 % quantile of the identifiers' ratios, at least 0.
 
 Positions come from matches that are anchored at the end of the one before: lengths of gaps and
 hits add up. Code points count; ends are exclusive. Null text is empty. Rows that repeat an id are
-scanned each; the result has a row for every row.
+scanned each; the result has a row for every row. Texts may have any length; an empty table gives an empty result;
+columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -46,7 +47,10 @@ def samples(docs: DataFrame, text_col: str = "text", sample_docs: int = 300, siz
     random = spark.range(size).select(
         F.when(F.col("id") % 3 == 0, F.substring(raw, 1, 40)).when(F.col("id") % 3 == 1, F.substring(b64, 1, 40)).otherwise(F.substring(F.regexp_replace(b64, "[+/=]", ""), 1, 32)).alias("text"), F.lit(1).alias("label")
     )
-    some = docs.select(text_of(text_col).alias("text")).orderBy(F.xxhash64("text")).limit(sample_docs)
+    # the smallest hashes first; only the texts that have them, a bounded number, travel
+    text = text_of(text_col)
+    hashes = [r["h"] for r in docs.select(F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(sample_docs).collect()]
+    some = docs.select(text.alias("text")).where(F.xxhash64("text").isin(hashes)).distinct()
     words = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,12}"), F.lit(0)))).alias("w")).distinct().orderBy(F.xxhash64("w")).limit(size)
     two = words.select("w", F.lead("w").over(Window.orderBy(F.xxhash64("w"))).alias("v"), F.pmod(F.xxhash64("w"), F.lit(2100)).cast("string").alias("n")).where("v IS NOT NULL")
     names = two.select(F.explode(F.array(F.concat_ws("_", "w", "v", "n"), F.concat("w", F.initcap("v"), "n"), F.concat_ws("-", "w", "v", "n"))).alias("text"), F.lit(0).alias("label"))
