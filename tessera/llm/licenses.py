@@ -15,12 +15,14 @@ Before all that a text is passed over if it has none of the anchors, words of wh
 contains one, so no match is lost. The template library bounds all that is held in plans.
 
 Null and empty texts have no matches. Copies of one template that stand within one window of each other are
-one span. Rows that repeat an id have a row each.
+one span. Rows that repeat an id have a row each. Texts may have any length; an empty table gives an empty result;
+columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
 
@@ -89,8 +91,10 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, cont
     anchors = anchors_of([shingles for *_, shingles in library], containment)
     sizes = sorted({len(s.split()) for *_, shingles in library for s in shingles})
     rows = [(f"{n}\t{k}", n, w, len(sh), s) for n, k, w, _, sh in library for s in sh]
-    schema = "template string, name string, window int, size int, shingle string"
-    shingles = spark.createDataFrame(rows, schema).withColumn("hash", F.xxhash64("shingle"))
+    # a literal: rows made by the driver would need Python on the executors
+    table_ = json.dumps([dict(zip(("template", "name", "window", "size", "shingle"), r, strict=True)) for r in rows])
+    library_ = F.from_json(F.lit(table_), "array<struct<template:string,name:string,window:int,size:int,shingle:string>>")
+    shingles = spark.range(1).select(F.explode(library_).alias("r")).select("r.*").withColumn("hash", F.xxhash64("shingle"))
     known = sorted({r["hash"] for r in shingles.select("hash").collect()})
 
     # the lower-cased text is bound once for all anchors
