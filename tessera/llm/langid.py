@@ -11,10 +11,13 @@ then shorter ones; every distinct word of a batch is scored once.
 A text gets the language of the lowest cross-entropy a character. Its score is the posterior
 of that language among all, flattened by a temperature that is calibrated on training texts, and
 lowered where the cross-entropy lies above what the language's own texts have (rejection: such a
-text is in none of them). ``reject`` turns low scores into ``und``.
+text is in none of them). ``reject`` turns low scores into ``und``; how far above is unusual, and the least score that
+is usual, come from the training texts too.
 
 Training takes a bounded sample: of each language about ``chars`` characters, from the documents
-with the smallest hashes. Null texts and texts without a letter get ``und`` and score 0.
+with the smallest hashes. Null texts and texts without a letter get ``und`` and score 0. Rows that repeat an id are
+predicted each. Without training texts, and so for an empty table, every prediction is ``und``; columns other than
+id, text and (in training) lang are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ship, table
 
 ORDER = 5
+#: Pieces of each language that calibrate.
+CALIBRATE = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +96,9 @@ class Model:
 
     def __init__(self, langs: list[str], grams_, contexts, floor: np.ndarray):
         self.langs, self.grams, self.contexts, self.floor = langs, grams_, contexts, floor
-        self.heat, self.usual = 1.0, np.zeros((len(langs), 2))
+        #: Calibrated in ``fit``: temperature; mean and spread of each language's own cross-entropy; how many spreads above
+        #: are usual; the least score that texts of a language have.
+        self.heat, self.usual, self.far, self.least = 1.0, np.zeros((len(langs), 2)), 6.0, 0.0
 
     def word_logs(self, points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """(words, languages) sums of log-probabilities."""
@@ -131,15 +138,19 @@ class Model:
         sums = np.stack([np.bincount(of, logs[same, j], n) for j in range(k)], 1)
         return -sums / np.maximum(chars, 1)[:, None], chars
 
-    def predict(self, texts: list[str], reject: float = 0.0) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str], reject: float | None = 0.0) -> tuple[list[str], np.ndarray]:
+        """reject: the least score of a language; None takes the calibrated one."""
+        reject = self.least if reject is None else reject
         texts = [t or "" for t in texts]
         h, chars = self.entropies(texts)
         best = h.argmin(1)
         bits = -(h - h.min(1)[:, None]) * np.sqrt(np.maximum(chars, 1))[:, None] * self.heat
         score = 1 / np.exp(bits).sum(1)
         mean, spread = self.usual[best, 0], self.usual[best, 1]
-        far = (h.min(1) - mean) / np.maximum(spread, 1e-3) - 6
-        score = np.where(chars > 0, score / (1 + np.maximum(0, far) / 6), 0.0)
+        # shorter texts than the calibration's pieces spread more
+        spread = spread * np.sqrt(np.maximum(1, 200 / np.maximum(chars, 1)))
+        over = np.maximum(0, (h.min(1) - mean) / np.maximum(spread, 1e-3) / self.far - 1)
+        score = np.where(chars > 0, score / (1 + over), 0.0)
         return [self.langs[b] if c and s >= reject else "und" for b, c, s in zip(best.tolist(), chars.tolist(), score.tolist(), strict=True)], score
 
 
@@ -196,21 +207,27 @@ def fit(samples: dict[str, list[str]]) -> Model | None:
         contexts.append((places, np.log(backs)))
     model = Model(langs, grams_, contexts, np.full(len(langs), np.log(uniform)))
     # calibration on pieces of the training texts: spread of the own cross-entropy, then the temperature
-    pieces, own = [], []
+    pieces, own, far, whole_ = [], [], [3.0], []
     for j, x in enumerate(langs):
         whole = " ".join(samples[x])
-        cut = [whole[i : i + 200] for i in range(0, min(len(whole), 100_000), 200)]
+        # pieces all over the sample, CALIBRATE of each kind at most
+        cut = [whole[i : i + 200] for i in range(0, len(whole), max(200, len(whole) // CALIBRATE))]
         h, chars = model.entropies(cut)
         own_h = h[chars > 0, j]
         model.usual[j] = (own_h.mean(), own_h.std()) if len(own_h) else (0, 1)
-        pieces += [whole[i : i + 24] for i in range(0, min(len(whole), 24_000), 24)]
+        if len(own_h):
+            far.append(float(np.quantile((own_h - own_h.mean()) / max(own_h.std(), 1e-3), 0.999)))
+        whole_ += cut
+        pieces += [whole[i : i + 24] for i in range(0, len(whole), max(24, len(whole) // CALIBRATE))]
         own += [j] * (len(pieces) - len(own))
     h, chars = model.entropies(pieces)
     own = np.array(own)
     gap = -(h - h.min(1)[:, None]) * np.sqrt(np.maximum(chars, 1))[:, None]
     heats = np.array([0.25, 0.5, 1, 2, 4, 8])
     loss = [-np.mean((gap * t)[np.arange(len(own)), own] - np.log(np.exp(gap * t).sum(1))) for t in heats]
-    model.heat = float(heats[int(np.argmin(loss))])
+    model.heat, model.far = float(heats[int(np.argmin(loss))]), max(far)
+    scores = model.predict(whole_)[1]
+    model.least = float(np.quantile(scores[scores > 0], 0.001)) if (scores > 0).any() else 0.0
     return model
 
 
@@ -248,7 +265,7 @@ def train(docs: DataFrame, chars: int = 400_000) -> Model | None:
     return fit(samples)
 
 
-def identify(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="text", reject: float = 0.0) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="text", reject: float | None = 0.0) -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score."""
     spark = docs.sparkSession
     ship(spark)
@@ -272,7 +289,8 @@ def identify(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="te
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    """Rows that are not learnt from; a null id is learnt from like others."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def op3(spark, sf_dir):
