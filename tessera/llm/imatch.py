@@ -19,7 +19,8 @@ subsets tell near copies from similar texts, small ones still agree on texts tha
 The likeness of two fingerprints is the share of equal hashes among the lexicons in which either
 text has terms. A text of which no lexicon keeps a term (an empty or very short one) has a hash of the
 whole text instead, so it is like its copies only. Null text is empty. Rows that repeat an id stand next to each other,
-ordered by text; a null id comes last.
+ordered by text; a null id comes last. Texts may have any length; an empty table gives an empty result; columns
+other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_of
 
-SUBSETS, FAN = 24, 64
+SUBSETS, FAN = 24, 256
 #: SQL of a text's distinct terms, as hashes; {} is the text. The empty string beside a leading separator is no term.
 TERMS = r"array_distinct(transform(filter(split(lower({}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> ''), w -> xxhash64(w)))"
 
