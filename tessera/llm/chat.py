@@ -9,7 +9,9 @@ assistant turns, as a byte span of the turn.
 
 Turns of a conversation stand in order of turn, then role, then text; its formatted text is
 their concatenation. A null text or role is empty; a null conv_id is a conversation of its own;
-repeated rows are turns. A conversation of any length passes through as a stream of batches.
+repeated rows are turns. A conversation of any length passes through as a stream of batches; its digests need its
+turns in order, so it is one task's, sorted with spilling. An empty table gives an empty result; columns other than
+the four are not read.
 """
 
 from __future__ import annotations

@@ -19,8 +19,9 @@ and work for any number of places. Prefix sums run over buckets of about 4,096 d
 source with a third of all rows is not one task.
 
 Null text has size 0, as have empty and blank texts; those take nothing. Null source is a
-source, the last one. Rows that repeat an id are documents of their own. An empty table gives
-an empty result.
+source, the last one. Rows that repeat an id are documents of their own. Texts may have any length.
+An empty table gives an empty result. Columns other than id, text and source are not read; ``mixed_documents``
+passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, Scratch, table, text_of
+from tessera.llm.common import WORD, Scratch, free, table, text_of
 
 ROUNDS = 8
 CELLS = 4096
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
     # offsets: within a bucket, of the bucket in its source
     named = each.join(sources.select(F.col("source").alias("s_source"), "source_id"), F.col("source").eqNullSafe(F.col("s_source")))
-    named = named.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)))
+    named = named.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h", "size"), F.lit(buckets)))
     order = Window.partitionBy("bucket").orderBy("source_id", "doc_id", "h", "size")
     inner = Window.partitionBy("bucket", "source_id").orderBy("doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, 0)
     named = named.withColumn("rn", F.row_number().over(order)).withColumn("upto", F.sum("size").over(inner))
@@ -158,11 +159,13 @@ def mixed_documents(docs: DataFrame, scratch: Scratch | None = None, **options)
     span = m.pieces.join(m.draws.select("source_id", "block", "epoch"), ["source_id", "block"])
     spans = span.groupBy("doc_id", "h", "size", "bucket", "rn", "epoch").agg(F.sort_array(F.collect_list(F.struct("w_from", "w_to"))).alias("spans"), F.sum(F.col("w_to") - F.col("w_from")).alias("got"))
     spans = spans.groupBy("doc_id", "h", "epoch").agg(F.min_by(F.struct("spans", "got", "size"), F.struct("bucket", "rn")).alias("_m"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("epoch").alias("_epoch"), "_m")
-    words = F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform(F.col("_m.spans"), lambda s: F.slice(words, (s["w_from"] + 1).cast("int"), (s["w_to"] - s["w_from"]).cast("int")))), " ")
-    out = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(text_of()) == spans["_h"]))
-    text = F.when(F.col("_m.got") == F.col("_m.size"), F.col("text")).otherwise(cut)
+    id_, h, epoch, m_ = free(docs, "_id", "_h", "_epoch", "_m")
+    spans = spans.select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("epoch").alias(epoch), F.col("_m").alias(m_))
+    # the words are found once for all spans of a row
+    words = F.array(F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0)))
+    cut = F.transform(words, lambda w: F.array_join(F.flatten(F.transform(F.col(f"{m_}.spans"), lambda s: F.slice(w, (s["w_from"] + 1).cast("int"), (s["w_to"] - s["w_from"]).cast("int")))), " "))[0]
+    out = docs.join(spans, docs["doc_id"].eqNullSafe(spans[id_]) & (F.xxhash64(text_of()) == spans[h]))
+    text = F.when(F.col(f"{m_}.got") == F.col(f"{m_}.size"), F.col("text")).otherwise(cut)
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
