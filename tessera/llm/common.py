@@ -90,7 +90,7 @@ def ship(spark: SparkSession) -> None:
     from pathlib import Path
 
     # smaller batches than the default 64 MB: two workers beside the heap have to fit in an executor
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
