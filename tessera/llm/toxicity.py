@@ -34,7 +34,7 @@ from tessera.llm.common import ship, table, text_of
 
 WINDOW, DICT, TOXIC_DICT = 64, 32_768, 4_096
 #: Lengths of the byte n-grams that find toxic stretches, bits of their hash tables, documents apart that score each other.
-SIZES, BITS, FOLDS = (5, 8), 23, 3
+SIZES, BITS, FOLDS = (5, 8), 22, 3
 #: An n-gram is toxic if its documents deviate from the classes' shares by so many nats of likelihood and so many times.
 SURE, RATIO = 12.0, 8.0
 #: Quantiles of ordinary windows' differences above which a window counts.
