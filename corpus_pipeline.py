@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; its result is written before the
 next stage starts, so a stage drops the scratch tables of the one before. All but the last return
-the columns of ``documents``.
+the columns of ``documents``. The stages run some hundred queries in one driver, whose unused
+memory is given back on the way.
 
 Null ids: the toxicity, exact and near stages keep such rows like others (a null id is the
 largest). Empty tables pass through as empty tables. Extra columns pass through unchanged, whatever
@@ -28,7 +29,7 @@ def _fresh(spark: SparkSession, sf_dir: str) -> Scratch:
     key = _run.get() or sf_dir
     if key in _last:
         _last.pop(key).drop()
-    _last[key] = Scratch(spark)
+    _last[key] = Scratch(spark, lean=True)
     return _last[key]
 
 

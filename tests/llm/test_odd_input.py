@@ -106,3 +106,28 @@ def test_a_second_run_leaves_the_first_ones_tables(spark, tmp_path):
     first = p.run(spark, str(tmp_path))
     second = p.run(spark, str(tmp_path))
     assert first.count() == second.count() > 0
+
+
+def test_the_pipeline_releases_the_drivers_memory(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+    from tessera.llm import common
+
+    def resident() -> int:
+        pid = spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+        with open(f"/proc/{pid}/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("VmRSS")) // 1024
+
+    held, seen = getattr(common, "release", None), []
+
+    def release(s):
+        before = resident()
+        held(s)
+        seen.append((before, resident()))
+
+    monkeypatch.setattr(common, "release", release, raising=False)
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(60).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert p.run(spark, str(tmp_path)).count() > 0
+    # at the start of each stage and on the way through the stage of many tables
+    assert len(seen) > len(p.STAGES)
+    assert sum(b - a for b, a in seen) > 0
